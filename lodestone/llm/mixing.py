@@ -72,7 +72,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, tilts:
         .withColumn("before", F.coalesce(F.sum("full").over(fills.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("open", F.sum("weight").over(fills.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("level", (F.sum("source_size").over(W.partitionBy()) * budget - F.col("before")) / F.col("open"))
-        .withColumn("settled", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(W.partitionBy()))
+        .withColumn("settled", F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "rank", "level"))).over(W.partitionBy())["level"])
     )
     return level.withColumn("target", F.least("full", F.coalesce(F.col("settled") * F.col("weight"), F.col("full")))).select("source", "source_size", "rows", "knots", "target")
 
@@ -133,14 +133,14 @@ WITH sized AS (
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS r FROM sized GROUP BY source
 ), w AS (
-  SELECT *, [3.0, 1.0, 2.0]::DOUBLE[][(r % 3 + 1)::INT] AS weight, [0.5, -0.5, 0.0]::DOUBLE[][(r % 3 + 1)::INT] AS tilt FROM s
+  SELECT *, CASE r % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1 ELSE 2 END AS weight, CASE r % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN -0.5 ELSE 0 END AS tilt FROM s
 ), f AS (
   SELECT *, 2.0::DOUBLE * source_size AS full_size, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, r) AS o FROM w
 ), l AS (
   SELECT *, ((SELECT sum(source_size) FROM f) * 1.5::DOUBLE - coalesce(sum(full_size) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM f
 ), t AS (
-  SELECT *, least(full_size, coalesce((SELECT min(lev) FROM l WHERE lev <= full_size / weight) * weight, full_size)) AS target FROM l
+  SELECT *, least(full_size, coalesce((SELECT arg_min(lev, o) FROM l WHERE lev <= full_size / weight) * weight, full_size)) AS target FROM l
 ), p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.tilt, round(t.target)::BIGINT AS goal,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
