@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import read_table, stored
 from lodestone.llm.linking import Buckets
@@ -95,12 +96,12 @@ def _symbols(blobs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, PLACES)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _keys(sig: pd.Series) -> pd.Series:
     return pd.Series(list(chunk_keys(_symbols(sig))))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((_symbols(a) != _symbols(b)).sum(axis=1).astype(np.int32))
 
