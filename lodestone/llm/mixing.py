@@ -124,7 +124,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words"))
     plan = mixing_plan(docs, size=F.col("n_words"))
     out = plan.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round(F.get("copies", F.lit(0)).position, 6).alias("position"))
-    return out.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last())
+    order = [F.col("position").asc_nulls_last(), F.xxhash64("doc_id")]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 OP1_SQL = r"""
