@@ -18,8 +18,6 @@ and kept alone; `without_copies` keeps the input's columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -109,15 +107,15 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 def sketches(docs: DataFrame, width: int, *, id_col: str = "doc_id") -> DataFrame:
     """id, n_shingles, sum1 and sum2 (of the set's hashes; equal sets have equal ones) and sig."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                s = shingles(text, width)
-                rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(_mixed(s + _STEP).sum(dtype=np.uint64).astype(np.int64)), signature(s).tobytes() if len(s) else None))
-            yield pd.DataFrame({"id": b["id"], **dict(zip(("n_shingles", "sum1", "sum2", "sig"), map(list, zip(*rows, strict=True)), strict=True))})
+    @F.pandas_udf("n_shingles long, sum1 long, sum2 long, sig binary")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            s = shingles(text, width)
+            rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(_mixed(s + _STEP).sum(dtype=np.uint64).astype(np.int64)), signature(s).tobytes() if len(s) else None))
+        return pd.DataFrame(rows, columns=["n_shingles", "sum1", "sum2", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), "text").mapInPandas(sketch, "id long, n_shingles long, sum1 long, sum2 long, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), sketch("text").alias("s")).select("id", "s.*")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -172,10 +170,9 @@ def _chunk(key: str):
 
 
 def without_copies(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those that aren't kept; repeated rows of a kept id stay once."""
-    kept = near_duplicates(docs, id_col=id_col, **how).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    whole = docs.dropDuplicates([id_col])
-    return whole.join(kept, whole[id_col].eqNullSafe(kept._kept), "left_semi")
+    """docs without those that aren't kept; repeated rows of a kept id stay once, rows without an id all stay."""
+    kept = near_duplicates(docs, id_col=id_col, **how).where("kept").select(id_col).distinct()
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The registered queries of the training-data operators and the SQL that expresses them."""
 
+from lodestone.llm.fingerprints import op7_fingerprints
+from lodestone.llm.line_dedup import op4_line_dedup
 from lodestone.llm.mixing import OP1_SQL, op1_mixing
 from lodestone.llm.near_duplicates import op8_near_duplicates
 from lodestone.llm.pieces import op10_sentencepiece
@@ -13,8 +15,10 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
     "op5_ppm": op5_ppm,
     "op6_rules": op6_rules,
+    "op7_fingerprints": op7_fingerprints,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
