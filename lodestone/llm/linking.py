@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
@@ -53,26 +53,50 @@ class Buckets:
         """All ids that share a bucket with another one."""
         return self.rows.select("id").distinct()
 
-    def linked(self, check: Check, refine: Callable[[DataFrame], DataFrame] | None = None, limit: int = 64) -> tuple[DataFrame, DataFrame]:
-        """(links found, id and component of every linked id). refine: turns rows (key, id, c) of buckets with more than limit
-        members into rows of smaller buckets that still bring every pair that may be linked together."""
+    def linked(self, check: Check, *, traits: DataFrame | None = None, may: Callable[[str, str], Column] | None = None, part: Column | None = None, levels: int = 1, limit: int = 8) -> tuple[DataFrame, DataFrame]:
+        """(links found, id and component of every linked id).
+
+        traits: id and columns; may(x, y): a condition on the traits (x.t, y.t) that every link meets, checked as pairs meet.
+        part: the part of a row that a key looks at, as a number of `key`. If any pair that may be linked shares keys of at least
+        `levels` different parts, buckets of more than limit members are split by a second key, of a later part, and so on."""
         pairs = self.rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         links = stored(check(pairs), f"{self.name}-links")
         found = stored(components(links), f"{self.name}-found")
         rows = self.rows.join(found, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("c"))
-        several = rows.groupBy("key").agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("n")).where("_c <> _d and n > 2").select("key", "n")
-        mixed = stored(rows.join(several, "key"), f"{self.name}-mixed")
-        if mixed.isEmpty():
+        base = self._mixed(rows.withColumn("last", part if part is not None else F.lit(0)))
+        if base.isEmpty():
             return links, found
-        open_rows = mixed.where(F.col("n") <= limit).select("key", "id", "c", "pivot")
-        if refine is not None:
-            open_rows = open_rows.unionByName(refine(mixed.where(F.col("n") > limit)).withColumn("pivot", F.lit(None).cast("long")))
-        else:
-            open_rows = mixed.select("key", "id", "c", "pivot")
-        other = open_rows.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("pivot").alias("_p"))
-        rest = open_rows.select("key", F.col("id").alias("a"), "c").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (F.col("_p").isNull() | (F.col("a") != F.col("_p"))))
-        more = stored(check(rest.select("a", "b").distinct()), f"{self.name}-more")
+        later = base.select("id", F.col("key").alias("_k"), F.col("last").alias("_l"))
+        todo, level, met = base, 1, None
+        while True:
+            final = level >= levels
+            now = self._meet(todo if final else todo.where(F.col("n") <= limit), traits, may)
+            met = now if met is None else met.unionByName(now)
+            if final:
+                break
+            large = todo.where(F.col("n") > limit).select("id", "key", "c", "last")
+            split = large.join(later, "id").where("_l > last").select(F.xxhash64("key", "_k").alias("key"), "id", F.lit(None).cast("long").alias("pivot"), "c", F.col("_l").alias("last"))
+            todo, level = self._mixed(split), level + 1
+            if todo.isEmpty():
+                break
+        more = stored(check(met.distinct()), f"{self.name}-more")
         if more.isEmpty():
             return links, found
         links = links.unionByName(more)
         return links, stored(components(links), f"{self.name}-found")
+
+    def _mixed(self, rows: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, with the bucket's number of members n."""
+        several = rows.groupBy("key").agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("n")).where("_c <> _d").select("key", "n")
+        return stored(rows.join(several, "key").where("n > 2 or pivot is null"), f"{self.name}-mixed")
+
+    def _meet(self, rows: DataFrame, traits: DataFrame | None, may: Callable[[str, str], Column] | None) -> DataFrame:
+        """Pairs of different components in a bucket, but for those with the pivot, which have been checked."""
+        rows = rows.select("key", "id", "c", "pivot")
+        if traits is not None:
+            rows = rows.join(traits, "id")
+        x, y = rows.alias("x"), rows.alias("y")
+        open_ = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.pivot").isNull() | (F.col("x.id") != F.col("x.pivot")))
+        if may is not None:
+            open_ = open_ & may("x", "y")
+        return x.join(y, open_).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))

@@ -3,10 +3,11 @@
 A document is the set of its word shingles (hashed to 64 bits). Its signature has PLACES symbols of 8 bits, each from the
 smallest value of the set under another hash function; two signatures differ in about (1 - similarity) of the places. To find
 all pairs that differ in at most REACH places, the places are split into CHUNKS chunks. By the pigeonhole principle at least
-two chunks of such a pair have one error at most, since CHUNKS - 1 chunks of two errors would be more than REACH; each chunk's
+LEVELS chunks of such a pair have one error at most, since two errors in all the others would be more than REACH; each chunk's
 one-error neighbourhood is enumerated by leaving out one place after the other, which gives PLACES keys for a document. Pairs
-that share a key are compared on their full sets: a link needs 100 * intersection >= PERCENT * union. Buckets with many
-members that their smallest member doesn't link are refined by the second of the two chunks (see linking.py).
+that share a key are compared on their full sets: a link needs 100 * intersection >= percent * union. Buckets with many members
+that their smallest member doesn't link, as those of documents with a passage in common, are split by a second, third and
+fourth chunk (see linking.py); pairs that meet need a like size and at most BITS differing lowest bits of their symbols.
 
 Documents with equal sets are one node: they are found by two sums over the set, not by pairs. A pair at the least similarity
 differs in 0.15 * 64 = 9.6 places on average; more than REACH is 4 standard deviations away.
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from lodestone.llm.common import read_table, stored
 from lodestone.llm.linking import Buckets
 
-PLACES, CHUNKS, REACH, CHECKED = 64, 12, 21, 28
-assert 2 * (CHUNKS - 1) > REACH
+PLACES, CHUNKS, REACH, CHECKED, BITS, LEVELS = 64, 14, 21, 28, 16, 4
+assert 2 * (CHUNKS - LEVELS + 1) > REACH
 REMEMBERED = 400_000
 _RNG = np.random.default_rng(20240229)
 _FACTORS = _RNG.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,16 +105,22 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((_symbols(a) != _symbols(b)).sum(axis=1).astype(np.int32))
 
 
+def _bits(sig: bytes) -> int:
+    """The lowest bit of each symbol."""
+    return int(np.packbits(np.frombuffer(sig, np.uint8) & 1).view(">i8")[0])
+
+
 def sketches(docs: DataFrame, width: int, *, id_col: str = "doc_id") -> DataFrame:
-    """id, n_shingles, sum1 and sum2 (of the set's hashes; equal sets have equal ones) and sig."""
+    """id, n_shingles, sum1 and sum2 (of the set's hashes; equal sets have equal ones), sig and bits."""
 
-    @F.pandas_udf("n_shingles long, sum1 long, sum2 long, sig binary")
+    @F.pandas_udf("n_shingles long, sum1 long, sum2 long, sig binary, bits long")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             s = shingles(text, width)
-            rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(_mixed(s + _STEP).sum(dtype=np.uint64).astype(np.int64)), signature(s).tobytes() if len(s) else None))
-        return pd.DataFrame(rows, columns=["n_shingles", "sum1", "sum2", "sig"])
+            sig = signature(s).tobytes() if len(s) else None
+            rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(_mixed(s + _STEP).sum(dtype=np.uint64).astype(np.int64)), sig, _bits(sig) if sig else 0))
+        return pd.DataFrame(rows, columns=["n_shingles", "sum1", "sum2", "sig", "bits"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), sketch("text").alias("s")).select("id", "s.*")
 
@@ -132,7 +139,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     """id, n_shingles, component_id (the smallest id that links lead to) and kept (whether that is the row's own id)."""
     thin = stored(sketches(docs, width, id_col=id_col), "near-sketches")
     same = ["n_shingles", "sum1", "sum2"]
-    nodes = thin.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("node"), F.first("sig").alias("sig"))
+    nodes = thin.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     nodes = stored(nodes, "near-nodes")
     buckets = Buckets(nodes.select(F.explode(_keys("sig")).alias("key"), F.col("node").alias("id")), "near")
     members = buckets.ids()
@@ -147,14 +154,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
         return common.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
 
-    def refine(rows: DataFrame) -> DataFrame:
-        """A pair of a bucket that is within REACH shares a key of another chunk too."""
-        keyed = rows.select("key", "id", "c").join(sigs, "id").select("key", "id", "c", F.explode(_keys("sig")).alias("k2"))
-        pairs = keyed.where(_chunk("key") < _chunk("k2")).select(F.struct("key", "k2").alias("k"), "id", "c")
-        back = keyed.where(_chunk("key") > _chunk("k2")).select(F.struct(F.col("k2").alias("key"), F.col("key").alias("k2")).alias("k"), "id", "c")
-        return pairs.unionByName(back).select(F.xxhash64("k").alias("key"), "id", "c").distinct()
-
-    _, found = buckets.linked(check, refine)
+    traits = nodes.select(F.col("node").alias("id"), "bits", F.col("n_shingles").alias("size"))
+    like_size = lambda x, y: 100 * F.least(f"{x}.size", f"{y}.size") >= percent * F.greatest(f"{x}.size", f"{y}.size")
+    like_bits = lambda x, y: F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= BITS
+    _, found = buckets.linked(check, traits=traits, may=lambda x, y: like_size(x, y) & like_bits(x, y), part=_chunk("key"), levels=LEVELS)
     named = nodes.join(found, nodes.node == found.id, "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     out = thin.join(named, same, "left").select(F.col("id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
