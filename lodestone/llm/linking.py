@@ -53,32 +53,37 @@ class Buckets:
         """All ids that share a bucket with another one."""
         return self.rows.select("id").distinct()
 
-    def linked(self, check: Check, *, traits: DataFrame | None = None, may: Callable[[str, str], Column] | None = None, part: Column | None = None, levels: int = 1, limit: int = 8) -> tuple[DataFrame, DataFrame]:
+    def linked(self, check: Check, *, traits: DataFrame | None = None, may: Callable[[str, str], Column] | None = None, part: Column | None = None, levels: int = 1, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
         """(links found, id and component of every linked id).
 
-        traits: id and columns; may(x, y): a condition on the traits (x.t, y.t) that every link meets, checked as pairs meet.
+        traits: id, band and columns. Pairs meet only if their bands are equal or neighbours, and if may(x, y) holds, a condition
+        on the traits (x.t, y.t) that costs little and that every link meets.
         part: the part of a row that a key looks at, as a number of `key`. If any pair that may be linked shares keys of at least
-        `levels` different parts, buckets of more than limit members are split by a second key, of a later part, and so on."""
+        `levels` different parts, buckets of more than limit members of a band are split by a second key, of a later part, and
+        so on: no row meets more than limit others for each of its keys, but at the last level."""
         pairs = self.rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         links = stored(check(pairs), f"{self.name}-links")
         found = stored(components(links), f"{self.name}-found")
         rows = self.rows.join(found, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("c"))
-        base = self._mixed(rows.withColumn("last", part if part is not None else F.lit(0)))
+        rows = rows.withColumn("last", part if part is not None else F.lit(0))
+        if traits is not None:
+            rows = self._mixed(rows).drop("n").join(traits, "id").withColumn("in_band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+        else:
+            rows = rows.withColumn("band", F.lit(0)).withColumn("in_band", F.lit(0))
+        base = self._mixed(rows)
         if base.isEmpty():
             return links, found
-        later = base.select("id", F.col("key").alias("_k"), F.col("last").alias("_l"))
-        todo, level, met = base, 1, None
+        level, todo, met = 1, base, None
         while True:
             final = level >= levels
-            now = self._meet(todo if final else todo.where(F.col("n") <= limit), traits, may)
+            now = self._meet(todo if final else todo.where(F.col("n") <= limit), may)
             met = now if met is None else met.unionByName(now)
-            if final:
-                break
-            large = todo.where(F.col("n") > limit).select("id", "key", "c", "last")
-            split = large.join(later, "id").where("_l > last").select(F.xxhash64("key", "_k").alias("key"), "id", F.lit(None).cast("long").alias("pivot"), "c", F.col("_l").alias("last"))
-            todo, level = self._mixed(split), level + 1
-            if todo.isEmpty():
+            large = todo.where(F.col("n") > limit).drop("n")
+            if final or large.isEmpty():
                 break
+            later = base.select("id", "in_band", F.col("key").alias("_k"), F.col("last").alias("_l"))
+            split = large.join(later, ["id", "in_band"]).where("_l > last").withColumn("key", F.xxhash64("key", "_k")).withColumn("last", F.col("_l")).withColumn("pivot", F.lit(None).cast("long"))
+            todo, level = self._mixed(split.drop("_k", "_l")), level + 1
         more = stored(check(met.distinct()), f"{self.name}-more")
         if more.isEmpty():
             return links, found
@@ -87,16 +92,15 @@ class Buckets:
 
     def _mixed(self, rows: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with the bucket's number of members n."""
-        several = rows.groupBy("key").agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("n")).where("_c <> _d").select("key", "n")
-        return stored(rows.join(several, "key").where("n > 2 or pivot is null"), f"{self.name}-mixed")
+        keys = ["key", "in_band"] if "in_band" in rows.columns else ["key"]
+        several = rows.groupBy(*keys).agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("n")).where("_c <> _d").select(*keys, "n")
+        return stored(rows.join(several, keys), f"{self.name}-mixed")
 
-    def _meet(self, rows: DataFrame, traits: DataFrame | None, may: Callable[[str, str], Column] | None) -> DataFrame:
+    def _meet(self, rows: DataFrame, may: Callable[[str, str], Column] | None) -> DataFrame:
         """Pairs of different components in a bucket, but for those with the pivot, which have been checked."""
-        rows = rows.select("key", "id", "c", "pivot")
-        if traits is not None:
-            rows = rows.join(traits, "id")
         x, y = rows.alias("x"), rows.alias("y")
-        open_ = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.pivot").isNull() | (F.col("x.id") != F.col("x.pivot")))
+        open_ = (F.col("x.key") == F.col("y.key")) & (F.col("x.in_band") == F.col("y.in_band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
+        open_ = open_ & (F.col("x.in_band") == F.greatest("x.band", "y.band")) & (F.col("x.pivot").isNull() | (F.col("x.id") != F.col("x.pivot")))
         if may is not None:
             open_ = open_ & may("x", "y")
         return x.join(y, open_).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))

@@ -6,8 +6,8 @@ all pairs that differ in at most REACH places, the places are split into CHUNKS
 LEVELS chunks of such a pair have one error at most, since two errors in all the others would be more than REACH; each chunk's
 one-error neighbourhood is enumerated by leaving out one place after the other, which gives PLACES keys for a document. Pairs
 that share a key are compared on their full sets: a link needs 100 * intersection >= percent * union. Buckets with many members
-that their smallest member doesn't link, as those of documents with a passage in common, are split by a second, third and
-fourth chunk (see linking.py); pairs that meet need a like size and at most BITS differing lowest bits of their symbols.
+that their smallest member doesn't link, as those of documents with a passage in common, are split by size and, if still large,
+by a second chunk (see linking.py); pairs meet only with at most BITS differing lowest bits of their symbols.
 
 Documents with equal sets are one node: they are found by two sums over the set, not by pairs. A pair at the least similarity
 differs in 0.15 * 64 = 9.6 places on average; more than REACH is 4 standard deviations away.
@@ -19,6 +19,8 @@ and kept alone; `without_copies` keeps the input's columns.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from lodestone.llm.common import read_table, stored
 from lodestone.llm.linking import Buckets
 
-PLACES, CHUNKS, REACH, CHECKED, BITS, LEVELS = 64, 14, 21, 28, 16, 4
+PLACES, CHUNKS, REACH, CHECKED, BITS, LEVELS = 64, 12, 21, 28, 16, 2
 assert 2 * (CHUNKS - LEVELS + 1) > REACH
 REMEMBERED = 400_000
 _RNG = np.random.default_rng(20240229)
@@ -154,7 +156,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
         return common.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
 
-    traits = nodes.select(F.col("node").alias("id"), "bits", F.col("n_shingles").alias("size"))
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(100 / percent) * 1.000001)) if percent < 100 else F.col("n_shingles")
+    traits = nodes.select(F.col("node").alias("id"), "bits", F.col("n_shingles").alias("size"), band.cast("long").alias("band"))
     like_size = lambda x, y: 100 * F.least(f"{x}.size", f"{y}.size") >= percent * F.greatest(f"{x}.size", f"{y}.size")
     like_bits = lambda x, y: F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= BITS
     _, found = buckets.linked(check, traits=traits, may=lambda x, y: like_size(x, y) & like_bits(x, y), part=_chunk("key"), levels=LEVELS)
