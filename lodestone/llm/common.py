@@ -56,3 +56,17 @@ def let(value: Column, body) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of the bitmap that `marked` sends to every task: 2^25, at most 2^19 words.
+BITMAP = 1 << 25
+
+
+def marked(df: DataFrame, key: Column, wanted: DataFrame, column: str) -> DataFrame:
+    """df with `_hit`: false where key (a number) is surely not among the column of wanted, true where it may be. Keys are hashed
+    into a bitmap of bounded size, so that rows that join nothing needn't be shuffled; a join decides about the others."""
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP))
+    words = wanted.select(F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`), 64) as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    own = df.withColumn("_h", F.xxhash64(key)).withColumn("_word", F.shiftright(F.pmod(F.col("_h"), F.lit(BITMAP)), 6))
+    hit = F.coalesce(F.getbit("_bits", F.pmod(F.col("_h"), F.lit(64)).cast("int")) == 1, F.lit(False))
+    return own.join(F.broadcast(words), "_word", "left").withColumn("_hit", hit).select(*df.columns, "_hit")  # at most 2^19 rows

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, let, read_table, stored
+from lodestone.llm.common import SPACES, let, marked, read_table, stored
 from lodestone.llm.linking import Buckets
 
 EDITS, LEAST = 2, 20
@@ -37,18 +37,21 @@ def segments(n: int | Column, edits: int = EDITS) -> list[tuple[Column, Column]]
 
 def probe_keys(line: Column, edits: int = EDITS) -> Column:
     """The keys under which a line is indexed and probes; its own segments are the probes of shift 0 for its own length."""
-    n = F.length(line)
-    keys = []
-    for less in range(edits + 1):  # the partner is shorter by so many code points
-        for i, (start, length) in enumerate(segments(n - less, edits)):
-            k = i + 1
-            low = max(-(k - 1), less - (edits + 1 - k))
-            high = min(k - 1, less + (edits + 1 - k))
-            for shift in range(low, high + 1):
-                at = start + shift
-                text = F.substring(line, (at + 1).cast("int"), length)
-                keys.append(F.when((at >= 0) & (at + length <= n) & (n - less >= LEAST), F.xxhash64((n - less).cast("int"), F.lit(i), text)))
-    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
+
+    def keys(n: Column) -> Column:
+        out = []
+        for less in range(edits + 1):  # the partner is shorter by so many code points
+            for i, (start, length) in enumerate(segments(n - less, edits)):
+                k = i + 1
+                low = max(-(k - 1), less - (edits + 1 - k))
+                high = min(k - 1, less + (edits + 1 - k))
+                for shift in range(low, high + 1):
+                    at = start + shift
+                    text = F.substring(line, (at + 1).cast("int"), length)
+                    out.append(F.when((at >= 0) & (at + length <= n) & (n - less >= LEAST), F.xxhash64(n - less, F.lit(i), text)))
+        return F.array(*out)
+
+    return F.array_distinct(F.array_compact(let(F.length(line), keys)))
 
 
 def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -104,8 +107,9 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     buckets = Buckets(keyed, "lines")
     wanted = buckets.ids().withColumnRenamed("id", "h1")
     at = first.join(wanted, "h1", "left_semi").select("h1", F.col("first.id").alias("id"), F.col("first.no").alias("no"))
-    at = at.groupBy("id").agg(F.collect_list(F.struct("no", "h1")).alias("want"))
-    texts = docs.select(F.col(id_col).alias("_id"), "text").join(at, F.col("_id").eqNullSafe(F.col("id")))
+    at = stored(at.groupBy("id").agg(F.collect_list(F.struct("no", "h1")).alias("want")), "line-places")
+    some = marked(docs.select(F.col(id_col).alias("_id"), "text"), F.col("_id"), at, "id").where("_hit").drop("_hit")
+    texts = some.join(at, F.col("_id").eqNullSafe(F.col("id")))
     texts = texts.select(F.split("text", "\n").alias("ls"), F.explode("want").alias("w")).select(F.col("w.h1").alias("id"), F.get("ls", F.col("w.no")).alias("line"))
     texts = texts.where(F.xxhash64("line") == F.col("id"))  # other rows of the same id may hold other texts
     texts = stored(texts.dropDuplicates(["id"]), "line-texts")
@@ -127,8 +131,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     copies) and dropped (their numbers)."""
     if clash := {c.lower() for c in docs.columns} & {"n_lines", "n_equal", "n_near", "dropped"}:
         raise ValueError(f"columns of the input clash: {sorted(clash)}")
-    gone = dropped_lines(docs, id_col=id_col).withColumnRenamed("id", "_id").withColumnRenamed("dropped", "_gone")
-    rows = docs.join(gone, docs[id_col].eqNullSafe(gone._id), "left")
+    gone = stored(dropped_lines(docs, id_col=id_col).withColumnRenamed("id", "_id").withColumnRenamed("dropped", "_gone"), "line-dropped")
+    all_ = marked(docs, F.col(id_col), gone, "_id")
+    touched = all_.where("_hit").join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_hit", "_id")
+    rows = touched.unionByName(all_.where("not _hit").drop("_hit").withColumn("_gone", F.lit(None).cast(gone.schema["_gone"].dataType)))
     numbers = F.coalesce(F.transform("_gone", lambda g: g["no"]), F.expr("cast(array() as array<int>)"))
     keep = let(F.split("text", "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("dropped")), lambda i: F.get(ls, i)), "\n"))
     rows = rows.withColumn("dropped", numbers)
@@ -138,7 +144,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
         F.coalesce(F.size(F.filter("_gone", lambda g: g["near"])), F.lit(0)).cast("long").alias("n_near"),
     ]
     text = F.when(F.size("dropped") == 0, F.col("text")).otherwise(keep).alias("text")
-    return rows.select(*(text if c == "text" else docs[c] for c in docs.columns), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(counts[0]).alias("n_lines"), *counts[1:], "dropped")
+    return rows.select(*(text if c == "text" else c for c in docs.columns), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(counts[0]).alias("n_lines"), *counts[1:], "dropped")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import marked, stored
 
 #: Pairs (a, b) with a < b -> those of them that are links.
 Check = Callable[[DataFrame], DataFrame]
@@ -47,7 +47,9 @@ class Buckets:
     def __init__(self, keys: DataFrame, name: str):
         self.name = name
         shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot <> _last").drop("_last")
-        self.rows = stored(keys.join(shared, "key").select("key", "id", "pivot").distinct(), f"{name}-buckets")
+        shared = stored(shared, f"{name}-shared")
+        some = marked(keys, F.col("key"), shared, "key").where("_hit")
+        self.rows = stored(some.join(shared, "key").select("key", "id", "pivot").distinct(), f"{name}-buckets")
 
     def ids(self) -> DataFrame:
         """All ids that share a bucket with another one."""

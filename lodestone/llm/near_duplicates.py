@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import read_table, stored
+from lodestone.llm.common import marked, read_table, stored
 from lodestone.llm.linking import Buckets
 
 PLACES, CHUNKS, REACH, CHECKED, BITS, LEVELS = 64, 12, 21, 28, 16, 2
@@ -144,8 +144,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     nodes = thin.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     nodes = stored(nodes, "near-nodes")
     buckets = Buckets(nodes.select(F.explode(_keys("sig")).alias("key"), F.col("node").alias("id")), "near")
-    members = buckets.ids()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), "text").join(members, "id", "left_semi").dropDuplicates(["id"])
+    members = stored(buckets.ids(), "near-members")
+    whole = marked(docs.select(F.col(id_col).cast("long").alias("id"), "text"), F.col("id"), members, "id").where("_hit").drop("_hit")
+    texts = whole.join(members, "id", "left_semi").dropDuplicates(["id"])
     sets = stored(shingle_sets(texts, width), "near-sets")
     sigs = nodes.select(F.col("node").alias("id"), "sig").join(members, "id", "left_semi")
 
