@@ -54,6 +54,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def kept_columns(df: DataFrame, *added: str) -> list[str]:
+    """The columns of df that an operator keeps: all but those that have the name of one it adds, which gives way to it."""
+    return [c for c in df.columns if c.lower() not in {a.lower() for a in added}]
+
+
+#: Where operators put what they compute before they lay it out; no input should have a column of this name.
+RESULT = "_lodestone_result"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

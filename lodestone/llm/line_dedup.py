@@ -13,7 +13,7 @@ Linked lines form groups, also over several links; the first line of a group by
 
 Null text: stays null, 0 lines. Empty text: one blank line. Lines and texts of any length are compared whole. Repeated rows of
 one id are treated alike: no copy of the row goes on account of the other, since both are the same document. Empty table:
-empty result. Extra columns are kept by `dedup_lines`; n_lines, n_equal, n_near and dropped must not be among them (ValueError).
+empty result. Extra columns are kept by `dedup_lines`, but for any named n_lines, n_equal, n_near or dropped, which give way.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, let, marked, read_table, stored
+from lodestone.llm.common import SPACES, kept_columns, let, marked, read_table, stored
 from lodestone.llm.linking import Buckets
 
 EDITS, LEAST = 2, 20
@@ -129,11 +129,10 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """docs with their remaining lines as text, and n_lines (before), n_equal, n_near (lines that went as copies of a line, as near
     copies) and dropped (their numbers)."""
-    if clash := {c.lower() for c in docs.columns} & {"n_lines", "n_equal", "n_near", "dropped"}:
-        raise ValueError(f"columns of the input clash: {sorted(clash)}")
+    kept = kept_columns(docs, "n_lines", "n_equal", "n_near", "dropped")
     gone = stored(dropped_lines(docs, id_col=id_col).withColumnRenamed("id", "_id").withColumnRenamed("dropped", "_gone"), "line-dropped")
-    all_ = marked(docs, F.col(id_col), gone, "_id")
-    touched = all_.where("_hit").join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_hit", "_id")
+    all_ = marked(docs.select(F.struct(*kept).alias("_row"), F.col(id_col).alias("_doc"), "text"), F.col("_doc"), gone, "_id")
+    touched = all_.where("_hit").join(gone, F.col("_doc").eqNullSafe(F.col("_id")), "left").drop("_hit", "_id")
     rows = touched.unionByName(all_.where("not _hit").drop("_hit").withColumn("_gone", F.lit(None).cast(gone.schema["_gone"].dataType)))
     numbers = F.coalesce(F.transform("_gone", lambda g: g["no"]), F.expr("cast(array() as array<int>)"))
     keep = let(F.split("text", "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("dropped")), lambda i: F.get(ls, i)), "\n"))
@@ -144,7 +143,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
         F.coalesce(F.size(F.filter("_gone", lambda g: g["near"])), F.lit(0)).cast("long").alias("n_near"),
     ]
     text = F.when(F.size("dropped") == 0, F.col("text")).otherwise(keep).alias("text")
-    return rows.select(*(text if c == "text" else c for c in docs.columns), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(counts[0]).alias("n_lines"), *counts[1:], "dropped")
+    return rows.select(*(text if c == "text" else F.col("_row")[c].alias(c) for c in kept), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(counts[0]).alias("n_lines"), *counts[1:], "dropped")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ documents of a source stand in the order of the md5 of their id, one epoch after
 source's words, turned into time, is their position; the mix is sorted by it.
 
 Null source: a source of its own, last. Null or empty text: size 0, nothing taken. Repeated rows: documents of their own.
-Empty table: empty result. Columns of the input are kept; the added ones have the names in ADDED and must not clash with
-those of the input (`mixing_plan` raises ValueError).
+Empty table: empty result. Columns of the input are kept, but for any that has the name of an added one (ADDED, or copy and
+position), which gives way.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read_table, stored, word_count
+from lodestone.llm.common import RESULT, kept_columns, read_table, stored, word_count
 
 ADDED = ("size", "source_size", "target", "start", "taken", "copies")
 #: Rows of a source that one task orders.
@@ -80,10 +80,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, tilts:
 def mixing_plan(docs: DataFrame, *, id_col: str = "doc_id", size: Column | None = None, **how) -> DataFrame:
     """docs with size, source_size, target, start (the words of its source before it), taken (words taken, repeats counted) and
     copies (array of copy, words, position). The target is met to the word: the last document taken gives its first words only."""
-    if clash := {c.lower() for c in docs.columns} & set(ADDED):
-        raise ValueError(f"columns of the input clash: {sorted(clash)}")
     cap = how.get("cap", 2.0)
-    sized = docs.withColumn("size", size if size is not None else word_count(F.col("text"))).withColumn("_key", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    kept = kept_columns(docs, *ADDED)
+    sized = docs.select(F.struct(*kept).alias("_row"), F.col("source"), (size if size is not None else word_count(F.col("text"))).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_key"))
     thin = stored(sized.select("source", "size", "_key"), "mixing")
     targets = source_targets(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), **how)
     targets = stored(targets.withColumnRenamed("source", "_source"), "mixing-targets")
@@ -110,13 +109,14 @@ def mixing_plan(docs: DataFrame, *, id_col: str = "doc_id", size: Column | None
     copies = F.when(goal > 0, F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(-(-cap // 1)) - 1)), copy), lambda c: c.words > 0))
     rows = rows.withColumn("copies", F.coalesce(copies, F.expr("cast(array() as array<struct<copy:int,words:bigint,position:double>>)")))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c.words)
-    return rows.withColumn("taken", taken).select(*docs.columns, *ADDED)
+    return rows.withColumn("taken", taken).select("_row.*", *ADDED)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: a row for each copy that is taken, with copy and position, sorted by position."""
-    plan = mixing_plan(docs, **how).select(*docs.columns, F.explode("copies").alias("_c"))
-    return plan.select(*docs.columns, F.col("_c.copy").alias("copy"), F.col("_c.position").alias("position")).repartitionByRange("position").sortWithinPartitions("position")
+    kept = kept_columns(docs, *ADDED, "copy", "position")
+    plan = mixing_plan(docs.select(*kept), **how).select(*kept, F.explode("copies").alias(RESULT))
+    return plan.select(*kept, F.col(RESULT)["copy"].alias("copy"), F.col(RESULT)["position"].alias("position")).repartitionByRange("position").sortWithinPartitions("position")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ HASH_DIMS + STATS entries. Scoring reads every whole text.
 
 Null and empty texts: the score of the empty vector. Repeated label rows of a document: the largest label. No labelled rows,
 or labels of one kind only: the smoothed share of label 1 for every document. Repeated documents get equal scores. Empty
-table: empty result. Extra columns are kept by `score_quality`; score and predicted must not be among them (ValueError).
+table: empty result. Extra columns are kept by `score_quality`, but for any named score or predicted, which give way.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_remainder, read_table
+from lodestone.llm.common import id_remainder, kept_columns, read_table
 
 HASH_DIMS, RANK, MAX_EXAMPLES, EPOCHS, THRESHOLD = 1 << 14, 6, 4000, 4, 0.3
 STATS = 16
@@ -155,8 +155,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted."""
-    if clash := {c.lower() for c in docs.columns} & {"score", "predicted"}:
-        raise ValueError(f"columns of the input clash: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -165,7 +163,8 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
         for texts in batches:
             yield pd.Series([m.probability(*vector(t)) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", probability("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = docs.select(*kept_columns(docs, "score", "predicted"), probability("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ function, no shuffle: each row is judged by itself.
 
 Null and empty texts: all measures 0, base_failed true, kept false. Texts of any length are measured whole; repeated windows
 are found by sorting the hashes of a text's windows. Repeated rows: equal results. Empty table: empty result. Extra columns
-are kept by `apply_rules`; the names in MEASURES, base_failed and kept must not be among them (ValueError).
+are kept by `apply_rules`, but for any that has the name of an added one (MEASURES, base_failed, kept), which gives way.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, WORD, let, read_table
+from lodestone.llm.common import RESULT, SPACES, WORD, kept_columns, let, read_table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_chars")
 WINDOW = 8
@@ -80,11 +80,10 @@ def verdict(rules: Sequence[Rule]) -> Column:
 
 def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """docs with MEASURES, base_failed and kept."""
-    if clash := {c.lower() for c in docs.columns} & {*MEASURES, "base_failed", "kept"}:
-        raise ValueError(f"columns of the input clash: {sorted(clash)}")
-    out = docs.withColumns(measures(F.col("text")))
+    kept = kept_columns(docs, *MEASURES, "base_failed", "kept")
+    found = F.struct(*(c.alias(name) for name, c in measures(F.col("text")).items()))
     nested = {"n_words": "_words.n", "n_repeat_words": "_words.repeat", "n_stop_words": "_words.stop", "n_lines": "_lines.n", "n_dup_lines": "_lines.dup"}
-    out = out.select(*docs.columns, *(F.col(nested.get(m, m)).cast("long").alias(m) for m in MEASURES))
+    out = docs.select(*kept, found.alias(RESULT)).select(*kept, *(F.col(f"{RESULT}.{nested.get(m, m)}").cast("long").alias(m) for m in MEASURES))
     base = verdict([r for r in rules if r[0] in BASE])
     return out.select("*", (~base).alias("base_failed"), verdict(rules).alias("kept"))
 

@@ -14,7 +14,7 @@ base rate by PRIOR, and set right by a logistic curve fitted on the examples the
 
 Null and empty texts and texts without any word of the examples: the base rate. No examples: 0. Repeated label rows: the
 largest label. Ties: the earlier example. Repeated documents: equal scores. Empty table: empty result. Extra columns are kept
-by `score_toxicity`; score, predicted and nearest must not be among them (ValueError).
+by `score_toxicity`, but for any named score, predicted or nearest, which give way.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_remainder, read_table
+from lodestone.llm.common import RESULT, id_remainder, kept_columns, read_table
 from lodestone.llm.quality import bounded_sample
 
 MAX_EXAMPLES, MAX_WORDS, K, POWER, PRIOR, BLOCK, THRESHOLD = 3000, 4000, 15, 2.0, 0.05, 64, 0.3
@@ -166,8 +166,6 @@ _models: dict[int, NearestExamples] = {}
 
 def score_toxicity(docs: DataFrame, examples: list, threshold: float = THRESHOLD, evidence: int = 3) -> DataFrame:
     """docs with score, predicted and nearest (ids of the nearest examples)."""
-    if clash := {c.lower() for c in docs.columns} & {"score", "predicted", "nearest"}:
-        raise ValueError(f"columns of the input clash: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(NearestExamples(examples))  # at most MAX_EXAMPLES * MAX_WORDS postings
 
     @F.pandas_udf("score double, nearest array<long>")
@@ -177,7 +175,8 @@ def score_toxicity(docs: DataFrame, examples: list, threshold: float = THRESHOLD
             both = [model.score(t, evidence) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in both], "nearest": [n for _, n in both]})
 
-    return docs.withColumn("_v", votes("text")).select(*docs.columns, "_v.score", (F.col("_v.score") >= threshold).cast("int").alias("predicted"), "_v.nearest")
+    kept, r = kept_columns(docs, "score", "predicted", "nearest"), F.col(RESULT)
+    return docs.select(*kept, votes("text").alias(RESULT)).select(*kept, r["score"].alias("score"), (r["score"] >= threshold).cast("int").alias("predicted"), r["nearest"].alias("nearest"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

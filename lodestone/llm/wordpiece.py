@@ -9,7 +9,7 @@ The vocabulary is read from a public sentencepiece file: a piece that starts wit
 other one goes on with a word. Words are runs of anything but ASCII white space; a word that the vocabulary can't spell out
 counts as one unknown token, as word-piece tokenizers have it. Null and empty texts: no words and no tokens. Words of any
 length take time in proportion to it. Repeated rows: equal counts. Empty table: empty result. Extra columns are kept by
-`with_token_counts`; n_words, n_tokens and n_unknown must not be among them (ValueError).
+`with_token_counts`, but for any named n_words, n_tokens or n_unknown, which give way.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read_table
+from lodestone.llm.common import RESULT, kept_columns, read_table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -91,8 +91,6 @@ class LongestMatch:
 
 def with_token_counts(docs: DataFrame, pieces: tuple[list[str], list[str]] | None = None) -> DataFrame:
     """docs with n_words, n_tokens (unknown words count as one) and n_unknown."""
-    if clash := {c.lower() for c in docs.columns} & {"n_words", "n_tokens", "n_unknown"}:
-        raise ValueError(f"columns of the input clash: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(pieces or read_pieces())  # as large as the vocabulary
 
     @F.pandas_udf("n_words long, n_tokens long, n_unknown long")
@@ -114,7 +112,9 @@ def with_token_counts(docs: DataFrame, pieces: tuple[list[str], list[str]] | Non
                 out.append((words.total(), tokens, unknown))
             yield pd.DataFrame(out, columns=["n_words", "n_tokens", "n_unknown"])
 
-    return docs.withColumn("_n", counts("text")).select(*docs.columns, "_n.n_words", "_n.n_tokens", "_n.n_unknown")
+    names = ("n_words", "n_tokens", "n_unknown")
+    kept = kept_columns(docs, *names)
+    return docs.select(*kept, counts("text").alias(RESULT)).select(*kept, *(F.col(RESULT)[n].alias(n) for n in names))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,8 +52,8 @@ def test_mixing_meets_targets(spark):
     mixed = [r.position for r in mixing.mix(df).collect()]
     assert mixed == sorted(mixed) and all(0 <= p <= 1 for p in mixed)
     assert mixing.mixing_plan(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mixing_plan(df.withColumn("taken", F.lit(1)))
+    odd = df.withColumn("taken", F.lit("mine")).withColumn("rows", F.lit(1)).withColumn("_key", F.lit(2))
+    assert {r.doc_id: r.taken for r in mixing.mixing_plan(odd).collect()} == again and "_key" in mixing.mix(odd).columns
 
 
 def test_schedule_inverts(spark):
@@ -384,3 +384,15 @@ def test_pipeline_stages(spark):
         df = out
     last = p.STAGES[-1][1](spark, df, sf)
     assert last.where("same").count() == last.count() == df.count()
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: quality.score_quality(d, quality.FactorisationMachine()), lambda d: toxicity.score_toxicity(d, []), lambda d: wordpiece.with_token_counts(d, (["a"], ["a"])), lambda d: pieces.round_trip(d), lambda d: rules.apply_rules(d), lambda d: line_dedup.dedup_lines(d),
+    lambda d: near_duplicates.without_copies(d), lambda d: fingerprints.against_edits(d), lambda d: ppm.score_language_model(d, F.lit(False)),
+])
+def test_clashing_columns_nulls_and_empty_tables(spark, run):
+    df = docs(spark, ODD).withColumns({c: F.lit("x") for c in ("score", "predicted", "nearest", "n_words", "same", "kept", "dropped", "n_lines", "_hit", "_v", "id", "size")})
+    df = df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    out = run(df)
+    assert len(set(out.columns)) == len(out.columns) and out.count() <= df.count()
+    assert run(df.limit(0)).count() == 0
