@@ -7,7 +7,8 @@ LEVELS chunks of such a pair have one error at most, since two errors in all the
 one-error neighbourhood is enumerated by leaving out one place after the other, which gives PLACES keys for a document. Pairs
 that share a key are compared on their full sets: a link needs 100 * intersection >= percent * union. Buckets with many members
 that their smallest member doesn't link, as those of documents with a passage in common, are split by size and, if still large,
-by a second chunk (see linking.py); pairs meet only with at most BITS differing lowest bits of their symbols.
+by a second chunk (see linking.py); pairs meet only if at most CHECKED places differ in the lowest PLANES bits of their symbols,
+which are kept as one number for each bit. A pair at the least similarity is 5 standard deviations away from CHECKED.
 
 Documents with equal sets are one node: they are found by two sums over the set, not by pairs. A pair at the least similarity
 differs in 0.15 * 64 = 9.6 places on average; more than REACH is 4 standard deviations away.
@@ -24,14 +25,14 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import marked, read_table, stored
 from lodestone.llm.linking import Buckets
 
-PLACES, CHUNKS, REACH, CHECKED, BITS, LEVELS = 64, 12, 21, 28, 16, 2
+PLACES, CHUNKS, REACH, CHECKED, PLANES, LEVELS = 64, 12, 21, 24, 4, 2
 assert 2 * (CHUNKS - LEVELS + 1) > REACH
 REMEMBERED = 400_000
 _RNG = np.random.default_rng(20240229)
@@ -107,22 +108,23 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((_symbols(a) != _symbols(b)).sum(axis=1).astype(np.int32))
 
 
-def _bits(sig: bytes) -> int:
-    """The lowest bit of each symbol."""
-    return int(np.packbits(np.frombuffer(sig, np.uint8) & 1).view(">i8")[0])
+def _planes(sig: bytes) -> list[int]:
+    """The lowest bits of all symbols, the second lowest, ..."""
+    symbols = np.frombuffer(sig, np.uint8)
+    return [int(np.packbits((symbols >> k) & 1).view(">i8")[0]) for k in range(PLANES)]
 
 
 def sketches(docs: DataFrame, width: int, *, id_col: str = "doc_id") -> DataFrame:
-    """id, n_shingles, sum1 and sum2 (of the set's hashes; equal sets have equal ones), sig and bits."""
+    """id, n_shingles, sum1 and sum2 (of the set's hashes; equal sets have equal ones), sig and planes."""
 
-    @F.pandas_udf("n_shingles long, sum1 long, sum2 long, sig binary, bits long")
+    @F.pandas_udf("n_shingles long, sum1 long, sum2 long, sig binary, planes array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             s = shingles(text, width)
             sig = signature(s).tobytes() if len(s) else None
-            rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(_mixed(s + _STEP).sum(dtype=np.uint64).astype(np.int64)), sig, _bits(sig) if sig else 0))
-        return pd.DataFrame(rows, columns=["n_shingles", "sum1", "sum2", "sig", "bits"])
+            rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(_mixed(s + _STEP).sum(dtype=np.uint64).astype(np.int64)), sig, _planes(sig) if sig else None))
+        return pd.DataFrame(rows, columns=["n_shingles", "sum1", "sum2", "sig", "planes"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), sketch("text").alias("s")).select("id", "s.*")
 
@@ -141,7 +143,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     """id, n_shingles, component_id (the smallest id that links lead to) and kept (whether that is the row's own id)."""
     thin = stored(sketches(docs, width, id_col=id_col), "near-sketches")
     same = ["n_shingles", "sum1", "sum2"]
-    nodes = thin.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+    nodes = thin.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("planes").alias("planes"))
     nodes = stored(nodes, "near-nodes")
     buckets = Buckets(nodes.select(F.explode(_keys("sig")).alias("key"), F.col("node").alias("id")), "near")
     members = stored(buckets.ids(), "near-members")
@@ -158,10 +160,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         return common.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
 
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(100 / percent) * 1.000001)) if percent < 100 else F.col("n_shingles")
-    traits = nodes.select(F.col("node").alias("id"), "bits", F.col("n_shingles").alias("size"), band.cast("long").alias("band"))
+    traits = nodes.select(F.col("node").alias("id"), *(F.get("planes", F.lit(k)).alias(f"p{k}") for k in range(PLANES)), F.col("n_shingles").alias("size"), band.cast("long").alias("band"))
     like_size = lambda x, y: 100 * F.least(f"{x}.size", f"{y}.size") >= percent * F.greatest(f"{x}.size", f"{y}.size")
-    like_bits = lambda x, y: F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= BITS
-    _, found = buckets.linked(check, traits=traits, may=lambda x, y: like_size(x, y) & like_bits(x, y), part=_chunk("key"), levels=LEVELS)
+
+    def like_symbols(x: str, y: str) -> Column:
+        other = F.lit(0).cast("long")
+        for k in range(PLANES):
+            other = other.bitwiseOR(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}")))
+        return F.bit_count(other) <= CHECKED
+
+    _, found = buckets.linked(check, traits=traits, may=lambda x, y: like_size(x, y) & like_symbols(x, y), part=_chunk("key"), levels=LEVELS)
     named = nodes.join(found, nodes.node == found.id, "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     out = thin.join(named, same, "left").select(F.col("id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
