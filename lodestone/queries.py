@@ -565,7 +565,7 @@ def personal_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""WITH q AS (SELECT conv_id * 1000 + turn AS pos, trim(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\s+,', ',', 'g'), ',\\s*', ', ', 'g')) AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL),
 v AS (SELECT *, instr(lower(query), ' in ') AS found, trim(substr(query, instr(lower(query), ' in ') + 4)) AS tail FROM q WHERE length(query) > 0),
-k AS (SELECT * FROM v WHERE NOT (found > 0 AND (tail = '' OR starts_with(tail, ',') OR length(regexp_replace(tail, '[^\\p{L}]', '', 'g')) < 2))),
+k AS (SELECT * FROM v WHERE NOT (found > 0 AND (tail = '' OR starts_with(tail, ',') OR length(regexp_replace(lower(tail), '[^a-z]', '', 'g')) < 2))),
 o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lower(query) ORDER BY pos) = 1)
 SELECT row_number() OVER (ORDER BY pos) AS qid, query FROM o""")
 def clean_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -675,12 +675,12 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("setting", "query_type", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("setting", "query_type")))
 
 
-@register(f"""WITH {PLACES_SQL} SELECT state, round(count(DISTINCT region) / count(*)::DOUBLE, 4) AS coverage, round(len(list_distinct(flatten(list(trip_types)))) / (count(*) * 2)::DOUBLE, 4) AS diversity, round(avg(greatest(0, 1 - popularity / 10)), 4) AS novelty,
-  round(avg((poi_type = 'hotel')::INT), 4) AS intent_consistency, round(avg(price / 1000), 4) AS grounding, round(avg((price / 1000 < 0.5)::INT), 4) AS violation_rate, round(avg(popularity / 10), 4) AS confidence_mean, round(stddev_pop(popularity / 10), 4) AS confidence_std FROM places GROUP BY state""")
+@register(f"""WITH {PLACES_SQL} SELECT state, round(count(DISTINCT region) / count(*)::DOUBLE, 9) AS coverage, round(len(list_distinct(flatten(list(trip_types)))) / (count(*) * 2)::DOUBLE, 9) AS diversity, round(avg(greatest(0, 1 - popularity / 10)), 9) AS novelty,
+  round(avg((poi_type = 'hotel')::INT), 9) AS intent_consistency, round(avg(price / 1000), 9) AS grounding, round(avg((price / 1000 < 0.5)::INT), 9) AS violation_rate, round(avg(popularity / 10), 9) AS confidence_mean, round(stddev_pop(popularity / 10), 9) AS confidence_std FROM places GROUP BY state""")
 def list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir).select("state", "region", "trip_types", "popularity", (F.col("price") / 1000).alias("share"), (F.col("poi_type") == "hotel").alias("suits"), (F.col("popularity") / 10).alias("confidence"))
     out = M.list_quality(c, group=["state"])
-    return out.select("state", *(F.round(c, 4).alias(c) for c in out.columns if c != "state"))
+    return out.select("state", *(F.round(c, 9).alias(c) for c in out.columns if c != "state"))
 
 
 # --- refinement and whole plans ------------------------------------------------------------------------------------------------------
@@ -688,7 +688,7 @@ _REFINE_IN = "c AS (SELECT id, popularity / 10 AS confidence, (id % 10) / 10::DO
 
 
 @register(f"""WITH {PLACES_SQL}, {_REFINE_IN}, s1 AS (SELECT *, CASE WHEN evidence_total > 0 THEN least(1, greatest(0, least(1, confidence + 0.12::DOUBLE * (share - 0.5::DOUBLE))) + CASE WHEN share >= 0.6 THEN 0.06::DOUBLE ELSE 0 END) ELSE confidence END AS c1 FROM c),
-s2 AS (SELECT *, CASE WHEN s_sem >= 0.62 AND c1 < 0.55 THEN least(1, c1 + 0.06::DOUBLE) ELSE c1 END AS c2, coalesce(least(0.12::DOUBLE, np * 0.12::DOUBLE), 0) AS g FROM s1),
+s2 AS (SELECT *, CASE WHEN s_sem >= 0.62 AND c1 < 0.55 THEN least(1, c1 + 0.06::DOUBLE) ELSE c1 END AS c2, least(0.12::DOUBLE, coalesce(np, 0) * 0.12::DOUBLE) AS g FROM s1),
 s3 AS (SELECT *, CASE WHEN c2 >= 0.55 THEN 'a' WHEN c2 < 0.2 AND s_sem < 0.2 AND s_graph < 0.2 AND share < 0.25 THEN 'd' ELSE 'o' END AS st, least(1, c2 + g) AS l1 FROM s2),
 s4 AS (SELECT *, CASE WHEN st <> 'o' THEN c2 WHEN l1 >= 0.55 THEN l1 ELSE least(1, l1 + g) END AS refined, CASE WHEN st <> 'o' THEN 0 WHEN l1 >= 0.55 THEN 1 ELSE 2 END AS iterations FROM s3)
 SELECT id, round(refined, 6) AS refined, iterations::INT AS iterations, CASE st WHEN 'a' THEN true WHEN 'd' THEN false ELSE refined >= 0.55 OR NOT (refined < 0.2 AND share < 0.35 AND s_sem < 0.3) END AS accepted FROM s4""")
