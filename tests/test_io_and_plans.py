@@ -109,3 +109,18 @@ def test_queries_match_sql(spark, duck, name):
     cols = sorted(got.columns)
     rows = lambda df: sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["degree_centrality", "page_rank", "page_rank_vanilla", "page_rank_decay", "page_rank_truncated", "page_rank_relation_weighted", "within_two_hops", "short_paths"])
+def test_supply_queries_take_every_supplier(spark, duck, name):
+    sql = E.ORACLE_SQL[name].replace(" WHERE l_suppkey % 3 <> 0", "")  # the SQL over all rows
+    got, want = E.QUERIES[name](spark, SF).toPandas(), duck.sql(sql).df()
+    cols = sorted(want.columns)
+    rows = lambda df: sorted([round(x, 7) if isinstance(x, float) else x for x in r] for r in df[cols].values.tolist())
+    assert sorted(got.columns) == cols and rows(got) == rows(want)
+
+
+def test_supply_graph_has_every_edge(spark, duck):
+    _, edges = E._supply(spark, SF)
+    want = duck.sql("SELECT count(*) FROM (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)").fetchall()[0][0]
+    assert edges.where("relation = 'SUPPLIES'").count() == want
