@@ -362,11 +362,15 @@ def near_pairs(places: DataFrame, radius_km: float = 150.0) -> DataFrame:
 
 
 def kindred_pairs(items: DataFrame, *, state: str = "state", labels: str = "labels", least: int = 2) -> DataFrame:
-    """a < b of the same state or with at least so many common labels: the OR is the union of two equi-joins."""
+    """a < b of the same state or with at least so many common labels: the OR is the union of two equi-joins. The second one is on
+    sets of `least` labels, so that only items that have so many in common meet, however hot a single label is."""
     x = items.select(F.col("id").alias("a"), F.col(state).alias("s"))
     y = items.select(F.col("id").alias("b"), F.col(state).alias("s"))
     same = x.join(y, "s").where("a < b").select("a", "b")
-    p = items.select(F.col("id").alias("a"), F.explode(F.array_distinct(labels)).alias("l"))
-    q = items.select(F.col("id").alias("b"), F.explode(F.array_distinct(labels)).alias("l"))
-    alike = p.join(q, "l").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
+    sorted_labels = F.array_sort(F.array_distinct(F.array_compact(labels)))
+    sets = F.transform(sorted_labels, lambda l: F.array(l))
+    for _ in range(least - 1):
+        sets = F.flatten(F.transform(sets, lambda c: F.transform(F.filter(sorted_labels, lambda l: l > F.element_at(c, -1)), lambda l: F.concat(c, F.array(l)))))
+    p = items.select(F.col("id").alias("a"), F.explode(sets).alias("l"))
+    alike = p.join(p.select(F.col("a").alias("b"), "l"), "l").where("a < b").select("a", "b")
     return same.unionByName(alike).distinct()

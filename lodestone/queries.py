@@ -233,10 +233,8 @@ def near_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {PLACES_SQL} SELECT a.id AS a, b.id AS b FROM places a JOIN places b ON a.id < b.id
 WHERE a.state = b.state AND a.district = b.district OR len(list_intersect(a.labels, b.labels)) >= 2 AND a.district = b.district""")
 def kindred_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of one brand and type, or of one type and with two words in common: the words carry the type, so that hot brands split."""
-    c = catalog(spark, sf_dir)
-    c = c.select("id", F.concat_ws("|", "state", "district").alias("state"), F.transform("labels", lambda x: F.concat_ws("|", x, "district")).alias("labels"))
-    return G.kindred_pairs(c)
+    """Of one brand, or with two words in common."""
+    return G.kindred_pairs(catalog(spark, sf_dir))
 
 
 # --- ranking ---------------------------------------------------------------------------------------------------------------

@@ -124,3 +124,9 @@ def test_supply_graph_has_every_edge(spark, duck):
     _, edges = E._supply(spark, SF)
     want = duck.sql("SELECT count(*) FROM (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)").fetchall()[0][0]
     assert edges.where("relation = 'SUPPLIES'").count() == want
+
+
+def test_kindred_places_pair_across_types(spark, duck):
+    got = {(r.a, r.b) for r in E.QUERIES["kindred_places"](spark, SF).collect()}
+    sql = "SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE a.p_brand = b.p_brand OR len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) >= 2"
+    assert got == set(duck.sql(sql).fetchall())

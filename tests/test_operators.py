@@ -211,6 +211,17 @@ def test_near_pairs_miss_none(spark):
     assert {(r.a, r.b) for r in G.near_pairs(spark.createDataFrame(at, "id int, lat double, lon double")).collect()} == want
 
 
+def test_kindred_pairs_miss_none(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["x", "y", None, "z"]), rnd.choice([None, [rnd.choice("abcdef") for _ in range(rnd.randint(0, 5))]])) for i in range(60)] + [(60, "v", ["a", None, "b", None]), (61, "w", [None, "b", "a", "a"])]
+    df = spark.createDataFrame(rows, "id int, state string, labels array<string>")
+    common = lambda p, q: len({x for x in p or () if x} & {x for x in q or () if x})
+    for least in (1, 2, 3):
+        want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] is not None and a[1] == b[1] or common(a[2], b[2]) >= least}
+        got = [(r.a, r.b) for r in G.kindred_pairs(df, least=least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 # --- constraints, metrics, refinement -------------------------------------------------------------------------------------
 def test_relaxation(spark):
     rows = spark.createDataFrame([(1, "all", True, True), (1, "x", False, True), (2, "y", False, True), (3, "z", False, False)], "q int, id string, a boolean, b boolean")
