@@ -2,16 +2,19 @@
 
 A document is the set of its word shingles (hashed to 64 bits). Its signature has PLACES symbols of 8 bits, each from the
 smallest value of the set under another hash function; two signatures differ in about (1 - similarity) of the places. To find
-all pairs that differ in at most REACH places, the places are split into CHUNKS chunks. By the pigeonhole principle at least
-LEVELS chunks of such a pair have one error at most, since two errors in all the others would be more than REACH; each chunk's
+all pairs that differ in at most reach places, the places are split into chunks. By the pigeonhole principle at least
+LEVELS chunks of such a pair have one error at most, since two errors in all the others would be more than reach; each chunk's
 one-error neighbourhood is enumerated by leaving out one place after the other, which gives PLACES keys for a document. Pairs
 that share a key are compared on their full sets: a link needs 100 * intersection >= percent * union. Buckets with many members
 that their smallest member doesn't link, as those of documents with a passage in common, are split by size and, if still large,
-by a second chunk (see linking.py); pairs meet only if at most CHECKED places differ in the lowest PLANES bits of their symbols,
-which are kept as one number for each bit. A pair at the least similarity is 5 standard deviations away from CHECKED.
+by a second chunk (see linking.py); pairs meet only if at most checked places differ in the lowest PLANES bits of their symbols,
+which are kept as one number for each bit.
 
-Documents with equal sets are one node: they are found by two sums over the set, not by pairs. A pair at the least similarity
-differs in 0.15 * 64 = 9.6 places on average; more than REACH is 4 standard deviations away.
+Chunks, reach and checked follow from percent (see layout): of pairs at the least similarity at most UNMET lie beyond reach, where
+they meet by chance only, and at most LOST beyond checked, where they are never compared. Percents that would need chunks of
+fewer than four places are refused.
+
+Documents with equal sets are one node: they are found by two sums over the set, not by pairs.
 
 Fewer words than a shingle: the whole sequence is one shingle. No words, null or empty text: an empty set, linked with nothing.
 Repeated rows are copies. Empty table: empty result. Extra columns: `near_duplicates` gives the id, n_shingles, component_id
@@ -21,6 +24,7 @@ and kept alone; `without_copies` keeps the input's columns.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,15 +36,38 @@ from pyspark.sql import types as T
 from lodestone.llm.common import marked, read_table, stored
 from lodestone.llm.linking import Buckets
 
-PLACES, CHUNKS, REACH, CHECKED, PLANES, LEVELS = 64, 12, 21, 24, 4, 2
-assert 2 * (CHUNKS - LEVELS + 1) > REACH
+PLACES, PLANES, LEVELS = 64, 4, 2
+FEWEST, MOST, UNMET, LOST = 12, 16, 1e-4, 1e-8
 REMEMBERED = 400_000
 _RNG = np.random.default_rng(20240229)
 _FACTORS = _RNG.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(1, 2**63, PLACES, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: First and last place of each chunk.
-_BOUNDS = [(PLACES * i // CHUNKS, PLACES * (i + 1) // CHUNKS) for i in range(CHUNKS)]
+
+
+class Layout(NamedTuple):
+    """bounds: first and last place of each chunk; reach: places in which a pair may differ and surely meets; checked: places in
+    which a pair may differ and is compared."""
+
+    bounds: tuple[tuple[int, int], ...]
+    reach: int
+    checked: int
+
+
+def beyond(percent: int, most: int) -> float:
+    """The share of pairs at the least similarity that differ in more than so many places."""
+    p = max(0.0, 1 - percent / 100) * 255 / 256
+    return sum(math.comb(PLACES, i) * p**i * (1 - p) ** (PLACES - i) for i in range(most + 1, PLACES + 1))
+
+
+def layout(percent: int) -> Layout:
+    """The fewest chunks, from FEWEST on, whose reach leaves at most UNMET of the pairs at the least similarity."""
+    for chunks in range(FEWEST, MOST + 1):
+        reach = 2 * (chunks - LEVELS + 1) - 1
+        if beyond(percent, reach) <= UNMET:
+            bounds = tuple((PLACES * i // chunks, PLACES * (i + 1) // chunks) for i in range(chunks))
+            return Layout(bounds, reach, next(k for k in range(reach, PLACES + 1) if beyond(percent, k) <= LOST))
+    raise ValueError(f"percent = {percent}: {PLACES} places find links of at least 76 %")
 
 
 class _Hashes(dict):
@@ -81,10 +108,10 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (_mixed(low) & np.uint64(255)).astype(np.uint8)
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
+def chunk_keys(signatures: np.ndarray, bounds: tuple[tuple[int, int], ...]) -> np.ndarray:
     """PLACES keys for each row of signatures: chunk, place left out, and the symbols of the chunk's other places."""
     out = []
-    for c, (a, b) in enumerate(_BOUNDS):
+    for c, (a, b) in enumerate(bounds):
         for j in range(a, b):
             key = np.full(len(signatures), c * 8 + j - a, np.int64)
             for i in range(a, b):
@@ -98,9 +125,12 @@ def _symbols(blobs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, PLACES)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _keys(sig: pd.Series) -> pd.Series:
-    return pd.Series(list(chunk_keys(_symbols(sig))))
+def _keys(sig: str, bounds: tuple[tuple[int, int], ...]) -> Column:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(sig: pd.Series) -> pd.Series:
+        return pd.Series(list(chunk_keys(_symbols(sig), bounds)))
+
+    return keys(sig)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -141,11 +171,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id (the smallest id that links lead to) and kept (whether that is the row's own id)."""
+    plan = layout(percent)
     thin = stored(sketches(docs, width, id_col=id_col), "near-sketches")
     same = ["n_shingles", "sum1", "sum2"]
     nodes = thin.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("planes").alias("planes"))
     nodes = stored(nodes, "near-nodes")
-    buckets = Buckets(nodes.select(F.explode(_keys("sig")).alias("key"), F.col("node").alias("id")), "near")
+    buckets = Buckets(nodes.select(F.explode(_keys("sig", plan.bounds)).alias("key"), F.col("node").alias("id")), "near")
     members = stored(buckets.ids(), "near-members")
     whole = marked(docs.select(F.col(id_col).cast("long").alias("id"), "text"), F.col("id"), members, "id").where("_hit").drop("_hit")
     texts = whole.join(members, "id", "left_semi").dropDuplicates(["id"])
@@ -154,7 +185,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     def check(pairs: DataFrame) -> DataFrame:
         near = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-        near = near.where(_distance("x", "y") <= CHECKED).select("a", "b")
+        near = near.where(_distance("x", "y") <= plan.checked).select("a", "b")
         both = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
         return common.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
@@ -167,18 +198,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         other = F.lit(0).cast("long")
         for k in range(PLANES):
             other = other.bitwiseOR(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}")))
-        return F.bit_count(other) <= CHECKED
+        return F.bit_count(other) <= plan.checked
 
-    _, found = buckets.linked(check, traits=traits, may=lambda x, y: like_size(x, y) & like_symbols(x, y), part=_chunk("key"), levels=LEVELS)
+    _, found = buckets.linked(check, traits=traits, may=lambda x, y: like_size(x, y) & like_symbols(x, y), part=_chunk("key", plan.bounds), levels=LEVELS)
     named = nodes.join(found, nodes.node == found.id, "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     out = thin.join(named, same, "left").select(F.col("id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _chunk(key: str):
+def _chunk(key: str, bounds: tuple[tuple[int, int], ...]) -> Column:
     """The chunk of a key: its symbols take 8 bits each, one less than the chunk has places."""
     out = F.lit(None).cast("long")
-    for c, (a, b) in enumerate(_BOUNDS):
+    for c, (a, b) in enumerate(bounds):
         low = (c * 8) << (8 * (b - a - 1))
         out = F.when(F.col(key).between(low, ((c * 8 + 8) << (8 * (b - a - 1))) - 1), F.lit(c)).otherwise(out)
     return out

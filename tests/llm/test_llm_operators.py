@@ -330,6 +330,32 @@ def test_near_duplicates_lose_no_link(spark):
     assert all(r.kept == (r.component_id == i) for i, r in rows.items())
 
 
+def test_near_duplicates_at_the_least_similarity(spark):
+    rnd, texts = random.Random(9), []
+    for k in itertools.count():  # pairs of 0.8 whose signatures differ more than usual, but within reach
+        words = [f"w{k}_{i}_{rnd.random()}" for i in range(50)]
+        pair = [" ".join(words[:45]), " ".join(words[:40] + words[45:])]
+        x, y = (near_duplicates.signature(near_duplicates.shingles(t, 1)) for t in pair)
+        if 24 < (x != y).sum() <= 27:
+            texts += pair
+        if len(texts) == 6:
+            break
+    rows = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs(spark, texts), width=1, percent=80).collect()}
+    assert rows == {i: i - i % 2 for i in range(6)}
+
+
+def test_near_duplicates_layout_follows_percent(spark):
+    for percent in range(76, 101):
+        bounds, reach, checked = near_duplicates.layout(percent)
+        assert near_duplicates.beyond(percent, reach) <= 1e-4 and near_duplicates.beyond(percent, checked) <= 1e-8 and reach <= checked
+        assert 2 * (len(bounds) - near_duplicates.LEVELS + 1) > reach and bounds[0][0] == 0 and bounds[-1][1] == near_duplicates.PLACES
+        keys = near_duplicates.chunk_keys(np.array([[0] * 64, [255] * 64], np.uint8), bounds)
+        rows = spark.createDataFrame([(int(k), c) for row in keys for k, c in zip(row, [c for c, (a, b) in enumerate(bounds) for _ in range(a, b)])], "key long, c int") if percent in (76, 80, 85) else None
+        assert rows is None or rows.where(near_duplicates._chunk("key", bounds) != F.col("c")).count() == 0
+    with pytest.raises(ValueError):
+        near_duplicates.near_duplicates(docs(spark, ODD), percent=70)
+
+
 def test_edit_distance_and_probes(spark):
     rnd = random.Random(3)
 
