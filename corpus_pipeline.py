@@ -36,8 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: a row for each copy of a document that is taken, in training order."""
-    return mix(docs).select(*docs.columns)
+    """The training mix: a row for each copy of a document that is taken, in training order; n_chars follows the text."""
+    out = mix(docs)
+    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

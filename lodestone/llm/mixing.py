@@ -112,10 +112,19 @@ def mixing_plan(docs: DataFrame, *, id_col: str = "doc_id", size: Column | None
     return rows.withColumn("taken", taken).select("_row.*", *ADDED)
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: a row for each copy that is taken, with copy and position, sorted by position."""
+    """The mix itself: a row for each copy that is taken, with copy and position, sorted by position. Where the plan takes only
+    the first words of a document, text ends with them (not if a size other than the number of words is given)."""
     kept = kept_columns(docs, *ADDED, "copy", "position")
     plan = mixing_plan(docs.select(*kept), **how).select(*kept, F.explode("copies").alias(RESULT))
+    if "text" in kept and how.get("size") is None:
+        cut = F.when(F.col(RESULT)["words"] < word_count(F.col("text")), first_words(F.col("text"), F.col(RESULT)["words"])).otherwise(F.col("text"))
+        plan = plan.select(*(cut.alias(c) if c == "text" else F.col(c) for c in kept), RESULT)
     return plan.select(*kept, F.col(RESULT)["copy"].alias("copy"), F.col(RESULT)["position"].alias("position")).repartitionByRange("position").sortWithinPartitions("position")
 
 

@@ -56,6 +56,21 @@ def test_mixing_meets_targets(spark):
     assert {r.doc_id: r.taken for r in mixing.mixing_plan(odd).collect()} == again and "_key" in mixing.mix(odd).columns
 
 
+def test_mix_emits_the_words_of_the_plan(spark):
+    texts = [" ".join(f"w{i}_{k}" for k in range(97)) + "\n" for i in range(9)] + ["  a\n\nb \x0b c\t"] * 3 + [None, ""]
+    df = docs(spark, texts, [f"s{i % 2}" for i in range(len(texts))])
+    plan = {r.doc_id: r for r in mixing.mixing_plan(df).collect()}
+    rows = mixing.mix(df).collect()
+    words = Counter()
+    for r in rows:
+        assert texts[r.doc_id].startswith(r.text)
+        words[r.doc_id] += len(r.text.split())
+    assert {i: p.taken for i, p in plan.items() if p.taken} == words
+    assert any(r.text != texts[r.doc_id] for r in rows) and all(r.text == texts[r.doc_id] for r in rows if len(r.text.split()) == plan[r.doc_id].size)
+    for i in range(5):
+        assert spark.range(1).select(mixing.first_words(F.lit("  a\n\nb \x0b c\t"), F.lit(i)).alias("x")).first().x == ["", "  a", "  a\n\nb", "  a\n\nb \x0b c", "  a\n\nb \x0b c\t"][i]
+
+
 def test_schedule_inverts(spark):
     knots = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in ((0.0, 1.0), (0.25, 3.0), (1.0, 0.5))))
     area = lambda t: (t * (1 + (1 + 8 * t)) / 2) if t <= 0.25 else 0.5 + (t - 0.25) * (3 + (3 - (t - 0.25) * 2.5 / 0.75)) / 2
