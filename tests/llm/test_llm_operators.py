@@ -210,6 +210,12 @@ def test_pieces_round_trip_and_viterbi(spark):
     assert all(r.decoded == r.text for r in both)
 
 
+def test_pieces_own_up_to_a_lost_mark(spark):
+    rows = {r.doc_id: r for r in pieces.round_trip(docs(spark, ["a b", "a\u2581b", "\u2581"])).collect()}
+    both = {r.doc_id: r.decoded == r.text for r in pieces.decode(pieces.encode(docs(spark, ["a b", "a\u2581b", "\u2581"]))).collect()}
+    assert {i: r.same for i, r in rows.items()} == both == {0: True, 1: False, 2: False}
+
+
 # --- language model --------------------------------------------------------------------------------------------------------
 def _plain_ppm(train, texts):
     """Counts of every context, one symbol at a time."""
