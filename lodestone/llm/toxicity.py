@@ -1,20 +1,27 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The examples are a bounded sample of labelled rows (MAX_EXAMPLES ids by hash; MAX_WORDS distinct words each, longer rows are no
-examples). A word's weight is (1 + ln tf) * ln(N / df) with N and df from the examples; a word of no example has df 0 and counts
-as df 1/2 in a document's length. The index keeps, for each word, its postings in the order of the examples, and for each word
-and block of BLOCK examples its largest weight. The nearest examples of a document come in two steps, without loss:
+The examples are a bounded sample of labelled rows (MAX_EXAMPLES ids by hash). The terms of a text are its lower-cased words
+without the punctuation around them and the first PREFIXES letters of longer words, which find inflected forms. The vocabulary
+is made of the terms that tell the labels apart among the examples: those in at least LEAST_DOCS of them whose share of label 1
+differs from the base rate by LEAST_Z standard errors and by LEAST_LIFT in log odds, at most MAX_TERMS. Terms are counted and
+chosen by a distributed aggregation; what the driver gets is the vocabulary and the examples' counts of it.
 
-1. the rare words' postings are added up in full, which gives every example a sum so far;
+A term's weight is (1 + ln tf) * ln(N / df) with N and df from the examples. The index keeps, for each term, its postings in the
+order of the examples, and for each term and block of BLOCK examples its largest weight. The nearest examples of a document come
+in two steps, without loss:
+
+1. the rare terms' postings are added up in full, which gives every example a sum so far;
 2. a block whose largest sum so far plus largest possible rest stays below the k-th best sum so far is left out; the weights of
-   the frequent words are added in the other blocks only.
+   the frequent terms are added in the other blocks only.
 
 The score is the share of label 1 among the K nearest, each weighed by its cosine to the power POWER, drawn to the examples'
 base rate by PRIOR, and set right by a logistic curve fitted on the examples themselves, each scored without itself.
 
-Null and empty texts and texts without any word of the examples: the base rate. No examples: 0. Repeated label rows: the
-largest label. Ties: the earlier example. Repeated documents: equal scores. Empty table: empty result. Extra columns are kept
-by `score_toxicity`, but for any named score, predicted or nearest, which give way.
+Null and empty texts and texts without any term of the vocabulary have no neighbours: the base rate, set right by the curve. No
+examples: 0. Labels of one kind only: no term tells them apart, so the base rate. Texts of any length are read whole, as examples and when scored. Repeated label rows:
+the largest label. Ties at the k-th place: the earlier example, in the order of (label, id, text). Repeated documents: equal
+scores. Empty table: empty result. Extra columns are kept by `score_toxicity`, but for any named score, predicted or nearest,
+which give way.
 """
 
 from __future__ import annotations
@@ -25,19 +32,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import RESULT, id_remainder, kept_columns, read_table
+from lodestone.llm.common import RESULT, id_remainder, kept_columns, read_table, stored
 from lodestone.llm.quality import bounded_sample
 
-MAX_EXAMPLES, MAX_WORDS, K, POWER, PRIOR, BLOCK, THRESHOLD = 3000, 4000, 15, 2.0, 0.05, 64, 0.3
+MAX_EXAMPLES, K, POWER, PRIOR, BLOCK, THRESHOLD = 6000, 15, 2.0, 0.05, 64, 0.3
+MAX_TERMS, LEAST_DOCS, LEAST_Z, LEAST_LIFT, PREFIXES = 4000, 3, 4.0, 2.0, (4, 5)
+REMEMBERED = 400_000
 _PUNCTUATION = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
-def words_of(text: str | None) -> Counter:
-    """Lower-cased words without the punctuation around them, and how often each occurs."""
-    return Counter(w for w in (x.strip(_PUNCTUATION) for x in (text or "").encode("utf-8", "replace").lower().split()) if w)
+def terms_of(token: bytes) -> tuple[bytes, ...]:
+    """The terms of a token: the word and its first letters, marked by a leading byte for their number."""
+    word = token.strip(_PUNCTUATION)
+    if not word:
+        return ()
+    letters = word.decode("utf-8", "replace")
+    return (word, *(bytes([n]) + letters[:n].encode("utf-8", "replace") for n in PREFIXES if len(letters) > n))
+
+
+class Terms(dict):
+    """The terms of a token that are in the vocabulary, remembered."""
+
+    def __init__(self, vocabulary: frozenset[bytes] | None = None):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, token: bytes) -> tuple[bytes, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[token] = tuple(t for t in terms_of(token) if self.vocabulary is None or t in self.vocabulary)
+        return found
+
+    def count(self, text: str | None) -> dict[bytes, int]:
+        """How often each term occurs in a whole text."""
+        out: dict[bytes, int] = {}
+        for token, n in Counter((text or "").encode("utf-8", "replace").lower().split()).items():
+            for t in self[token]:
+                out[t] = out.get(t, 0) + n
+        return out
 
 
 class BlockMaxIndex:
@@ -117,6 +153,7 @@ class NearestExamples:
         self.labels = np.array([y for *_, y in examples], float)
         self.base = float(self.labels.mean()) if examples else 0.0
         self.index = BlockMaxIndex([w for _, w, _ in examples])
+        self.terms = Terms(frozenset(self.index.idf))
         self.slope, self.offset = 1.0, 0.0
         if 0 < self.labels.sum() < len(examples):
             self._calibrate([self.votes(*self.index.nearest(w, K, i)) for i, (_, w, _) in enumerate(examples)])
@@ -140,33 +177,54 @@ class NearestExamples:
             self.slope, self.offset = float(t[0]), float(t[1])
 
     def score(self, text: str | None, evidence: int = 0) -> tuple[float, list[int]]:
-        near, cosine = self.index.nearest(words_of(text), K) if self.index.n else ((), ())
-        if not len(near):
-            return self.base, []
+        if not self.index.n:
+            return 0.0, []
+        near, cosine = self.index.nearest(self.terms.count(text), K)
         z = self.slope * self._logit(self.votes(near, cosine)) + self.offset
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [self.ids[i] for i in near[:evidence]]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", limit: int = MAX_EXAMPLES) -> list[tuple[int, dict[bytes, int], int]]:
-    """The labelled examples: id, words and label."""
-    sample = F.broadcast(bounded_sample(labels, label_col, limit))  # at most `limit` pairs
+def telling_terms(sample: DataFrame) -> frozenset[bytes]:
+    """sample: _label, text. The terms that tell the labels apart."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = Terms()
         for b in batches:
-            rows = [(i, y, c) for i, y, c in zip(b["_id"], b["_label"], map(words_of, b["text"]), strict=True) if len(c) <= MAX_WORDS]
-            yield pd.DataFrame({"id": [r[0] for r in rows], "y": [r[1] for r in rows], "w": [b" ".join(r[2]) for r in rows], "n": [np.array(list(r[2].values()), "<i4").tobytes() for r in rows]})
+            docs = {y: Counter(t for text in b["text"][b["_label"] == y] for t in terms.count(text)) for y in (0, 1)}
+            both = list(docs[0].keys() | docs[1].keys())
+            yield pd.DataFrame({"term": both, "n0": [docs[0][t] for t in both], "n1": [docs[1][t] for t in both]})
+
+    size = sample.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
+    n, ones = int(size[0]), int(size[1])
+    if not 0 < ones < n:
+        return frozenset()
+    counts = sample.select("_label", "text").mapInPandas(counted, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    share = (F.col("n0") + F.col("n1")) / n
+    z = F.abs(F.col("n1") / ones - F.col("n0") / (n - ones)) / F.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)))
+    lift = F.abs(F.log((F.col("n1") + 0.5) / (F.col("n0") + 0.5)) - math.log(ones / (n - ones)))
+    telling = counts.where((F.col("n0") + F.col("n1") >= LEAST_DOCS) & (share < 1)).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (lift >= LEAST_LIFT))
+    return frozenset(bytes(r.term) for r in telling.orderBy(F.desc(F.round("z", 6)), "term").limit(MAX_TERMS).select("term").collect())
+
 
-    rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id")).select("_id", "_label", "text").mapInPandas(counted, "id long, y int, w binary, n binary").toPandas()
-    rows = rows.drop_duplicates(["id", "w"]).sort_values(["y", "id", "w"])
-    return [(int(i), dict(zip(w.split(b" ") if w else [], np.frombuffer(n, "<i4").tolist(), strict=True)), int(y)) for i, y, w, n in zip(rows["id"], rows["y"], rows["w"], rows["n"], strict=True)]
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", limit: int = MAX_EXAMPLES) -> list[tuple[int, dict[bytes, int], int]]:
+    """The labelled examples: id, counts of the terms that tell labels apart, and label."""
+    ids = F.broadcast(bounded_sample(labels, label_col, limit))  # at most `limit` pairs
+    sample = stored(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).select("_id", "_label", "text").distinct(), "toxicity-sample")
+    vocabulary = telling_terms(sample)
 
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = Terms(vocabulary)
+        for b in batches:
+            some = [sorted(terms.count(t).items()) for t in b["text"]]
+            yield pd.DataFrame({"id": b["_id"], "y": b["_label"], "h": [xxhash.xxh3_64_intdigest(t or "") >> 1 for t in b["text"]], "w": [[w for w, _ in x] for x in some], "n": [[c for _, c in x] for x in some]})
 
-_models: dict[int, NearestExamples] = {}
+    rows = sample.mapInPandas(counted, "id long, y int, h long, w array<binary>, n array<int>").toPandas().sort_values(["y", "id", "h"])
+    return [(int(i), dict(zip(map(bytes, w), map(int, n), strict=True)), int(y)) for i, y, w, n in zip(rows["id"], rows["y"], rows["w"], rows["n"], strict=True)]
 
 
 def score_toxicity(docs: DataFrame, examples: list, threshold: float = THRESHOLD, evidence: int = 3) -> DataFrame:
     """docs with score, predicted and nearest (ids of the nearest examples)."""
-    shared = docs.sparkSession.sparkContext.broadcast(NearestExamples(examples))  # at most MAX_EXAMPLES * MAX_WORDS postings
+    shared = docs.sparkSession.sparkContext.broadcast(NearestExamples(examples))  # at most MAX_EXAMPLES * MAX_TERMS postings
 
     @F.pandas_udf("score double, nearest array<long>")
     def votes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
