@@ -1,5 +1,6 @@
 """Training-data operators against brute force, exact round trips and held-out accuracy, with the awkward inputs of each."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -7,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import fingerprints, line_dedup, linking, mixing, near_duplicates, pieces, ppm, quality, rules, toxicity, wordpiece
@@ -282,28 +285,71 @@ def test_rules_measures(spark):
 
 
 # --- fingerprints ------------------------------------------------------------------------------------------------------------
-def test_fingerprints(spark):
-    texts = corpus(60)
+def _h(*values):
+    """Spark's xxhash64 of numbers, arrays of numbers and texts."""
+    seed = 42
+    for v in values:
+        for x in v if isinstance(v, list) else [v]:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x & (2**64 - 1)).to_bytes(8, "little"), seed)
+    return seed
+
+
+def _brute_fingerprint(text):
+    """Hash -> first place of the smallest anchors, by the definition of closed syncmers."""
+    single = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+    h = [_h(x) for x in regex.findall(rf"[{single}]|[^\x20\x09-\x0D{single}]{{1,3}}", text or "")]
+    if not h:
+        return {}
+    if len(h) < fingerprints.K:
+        return {_h(h) >> 33: 0}
+    inner, found, signed = [_h(*h[i : i + fingerprints.S]) for i in range(len(h) - fingerprints.S + 1)], {}, lambda x: x - 2**64 if x >= 2**63 else x
+    width = fingerprints.K - fingerprints.S + 1
+    for i in range(len(h) - fingerprints.K + 1):
+        part = [signed(x) for x in inner[i : i + width]]
+        if min(part) in (part[0], part[-1]):
+            found.setdefault(_h(*inner[i : i + width]) >> 33, i)
+    return dict(sorted(found.items())[: fingerprints.SIZE])
+
+
+def _brute_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    sample = sorted(a.keys() | b.keys())[: fingerprints.SIZE]
+    places = sorted((a[x], b[x]) for x in sample if x in a and x in b)
+    return sum(i == 0 or y > places[i - 1][1] for i, (_, y) in enumerate(places)) / len(sample)
+
+
+def test_fingerprints_match_brute_force(spark):
+    texts = [*corpus(60), "語語語かな漢字 and more words of it", "abc " * 40, " ".join(f"w{i * 7919 % 1000}" for i in range(3000))]
     rows = {r.doc_id: r for r in fingerprints.against_edits(docs(spark, texts)).collect()}
-    import hashlib
-
     assert len(rows) == len(texts)
+    show = lambda print_: "".join(f"{x:08x}{p:08x}" for x, p in print_.items())
     for i, t in enumerate(texts):
         t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
         k = len(t) // 4
-        assert rows[i].n_chars == len(t) and rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest()
-        assert 0 <= rows[i].near_edited <= 1 and 0 <= rows[i].near_next <= 1
-    assert rows[0].fingerprint == rows[len(texts) - 5].fingerprint and rows[60].fingerprint == rows[61].fingerprint == ""
+        edited = t[: len(t) - k] + nxt[:k]
+        own, other, following = map(_brute_fingerprint, (t, edited, nxt))
+        r = rows[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == (show(own), show(other))
+        assert r.near_edited == pytest.approx(_brute_likeness(own, other)) and r.near_next == pytest.approx(_brute_likeness(own, following))
+    assert rows[0].fingerprint == rows[69].fingerprint and rows[60].fingerprint == rows[61].fingerprint == "" and rows[60].near_next == 1.0
     long = [r for i, r in rows.items() if 40 <= i < 60 and len(texts[i]) > 150]
     assert sum(r.near_edited > r.near_next for r in long) >= 0.9 * len(long)
-    a = spark.range(1).select(fingerprints.anchors(F.lit(texts[1])).alias("a")).first().a
-    b = spark.range(1).select(fingerprints.anchors(F.lit(texts[1] + " tail of other words here")).alias("a")).first().a
-    assert {x["hash"] for x in a} <= {x["hash"] for x in b} and fingerprints.against_edits(docs(spark, ODD).limit(0)).count() == 0
+    assert fingerprints.against_edits(docs(spark, ODD).limit(0)).count() == 0
+
+
+def test_likeness_counts_anchors_in_order(spark):
+    halves = [" ".join(f"{c}{i * 7919 % 1000}" for i in range(400)) for c in "ab"]
+    one, other = halves[0] + " " + halves[1], halves[1] + " " + halves[0]
+    r = spark.range(1).select(*(fingerprints.likeness(fingerprints.sketch(F.lit(x)), fingerprints.sketch(F.lit(y))).alias(n) for n, x, y in (("same", one, one), ("moved", one, other), ("other", halves[0], halves[1])))).first()
+    assert r.same == 1 and 0.8 < r.moved < 1 and r.other == 0
 
 
-def test_repeated_rows_come_out_once(spark):
+def test_repeated_rows_each_have_their_fingerprint(spark):
     df = docs(spark, ["aa bb cc", "dd ee ff"])
-    assert fingerprints.against_edits(df.unionByName(df)).count() == 2
+    rows = fingerprints.against_edits(df.unionByName(df).unionByName(df.limit(1).withColumn("text", F.lit("of the same id")))).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 0, 0, 1, 1] and len({r for r in rows}) == 3
 
 
 # --- duplicates --------------------------------------------------------------------------------------------------------------
