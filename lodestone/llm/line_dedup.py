@@ -1,19 +1,27 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are what line feeds part. Equal lines are found by two hashes; lines of at least LEAST code points that are within EDITS
-edits of one another by this join: a line is split into EDITS + 1 segments of even length, at least one of which an edit join
-partner must contain unchanged and near the same place. Each line is indexed by its segments, and probes the segments of the
-lines of its own length and of up to EDITS code points less with its substrings at the places where they can stand
-(multi-match-aware selection of Li et al., 2011). Index entry and probe meet as equal keys of length, segment number and text;
-pairs that meet are checked by an edit distance on bits: one word for each number of errors, whose bits are the 2 EDITS + 1
-diagonals around the middle, shifted along the lines character by character.
-
-Linked lines form groups, also over several links; the first line of a group by (id, line number) stays, with all blank lines
-(no word). Of a kept document the other lines remain in their order.
-
-Null text: stays null, 0 lines. Empty text: one blank line. Lines and texts of any length are compared whole. Repeated rows of
-one id are treated alike: no copy of the row goes on account of the other, since both are the same document. Empty table:
-empty result. Extra columns are kept by `dedup_lines`, but for any named n_lines, n_equal, n_near or dropped, which give way.
+Lines are what line feeds part. Equal lines are found by two hashes; lines of at least LEAST code points that are within
+EDITS = 2 edits of one another by this join. Lengths fall into classes of 4 (from 64 code points on, of 16). For the class that
+starts at b, a line of b code points or more has three segments: the first b/3, the last b/3, and most of the middle. Of a line
+within two edits either the first segment is unchanged at the start, or the last one at the end, or there is one edit in each and
+the middle stands unchanged, at most one place to a side. So a line has four keys for its class: the two outer segments, and
+the middle one at its place and one place on (of two lines shifted by one place, one is found so in the other). A line that may
+have a partner in the class below, one or two code points shorter, has the keys of that class as well.
+
+Lines that share a key are candidates. What the smallest line of a bucket doesn't settle (see linking.py), as lines with a
+passage in common, is split by the prefix filter: two edits destroy at most four of a line's pairs of neighbouring characters,
+so that linked lines share one of the five first pairs of each in any common order; rare ones come first (by counts of hashed
+slots over all such lines). Candidates are checked by an edit distance on bits, on what is left of them without their common
+start and end: one word for each number of errors, whose bits are the 2 EDITS + 1 diagonals around the middle, shifted along
+the lines character by character.
+
+Linked lines form groups, also over several links; the first line of a group by (id, hash of the text, line number) stays, with
+all blank lines (no word); lines without an id come first. Of a document the other lines remain in their order.
+
+Null text: stays null, 0 lines. Empty text: one blank line. Lines and texts of any length are compared whole. Repeated rows
+(same id and text) are treated alike: no copy of the row goes on account of the other, since both are the same document. Rows
+of one id with different texts are different documents. Ties: none, places differ. Empty table: empty result. Extra columns are
+kept by `dedup_lines`, but for any named n_lines, n_equal, n_near or dropped, which give way.
 """
 
 from __future__ import annotations
@@ -21,37 +29,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, kept_columns, let, marked, read_table, stored
-from lodestone.llm.linking import Buckets
+from lodestone.llm.common import kept_columns, let, marked, read_table, stored
+from lodestone.llm.linking import Buckets, meet
 
 EDITS, LEAST = 2, 20
+GRAM, SLOTS = 2, 1 << 16
 
 
-def segments(n: int | Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
-    """(start, length) of the segments of a line of n code points: even, the last ones longer by one."""
-    n = F.lit(n) if isinstance(n, int) else n
-    k = edits + 1
-    base, over = F.floor(n / k).cast("int"), (n % k).cast("int")
-    return [(base * i + F.greatest(F.lit(0), over - (k - i)), base + F.when(over >= k - i, 1).otherwise(0)) for i in range(k)]
+def segment_keys(line: str, n: str) -> Column:
+    """The keys of a line of n code points, at least LEAST; both are names of columns."""
+    start = lambda n: f"({n} - {n} % if({n} < 64, 4, 16))"
 
+    def keys(b: str) -> str:
+        outer, middle = f"cast({b} div 3 as int)", f"cast({b} - 2 * ({b} div 3) - 1 as int)"
+        parts = [f"0, substring({line}, 1, {outer})", f"2, substring({line}, {n} - {outer} + 1, {outer})", f"1, substring({line}, {outer} + 1, {middle})", f"1, substring({line}, {outer} + 2, {middle})"]
+        return f"array({', '.join(f'xxhash64({b}, {p})' for p in parts)})"
 
-def probe_keys(line: Column, edits: int = EDITS) -> Column:
-    """The keys under which a line is indexed and probes; its own segments are the probes of shift 0 for its own length."""
+    below = start(f"({n} - {EDITS})")
+    return F.expr(f"if({below} = {start(n)} or {n} - {EDITS} < {LEAST}, {keys(start(n))}, concat({keys(start(n))}, {keys(below)}))")
 
-    def keys(n: Column) -> Column:
-        out = []
-        for less in range(edits + 1):  # the partner is shorter by so many code points
-            for i, (start, length) in enumerate(segments(n - less, edits)):
-                k = i + 1
-                low = max(-(k - 1), less - (edits + 1 - k))
-                high = min(k - 1, less + (edits + 1 - k))
-                for shift in range(low, high + 1):
-                    at = start + shift
-                    text = F.substring(line, (at + 1).cast("int"), length)
-                    out.append(F.when((at >= 0) & (at + length <= n) & (n - less >= LEAST), F.xxhash64(n - less, F.lit(i), text)))
-        return F.array(*out)
 
-    return F.array_distinct(F.array_compact(let(F.length(line), keys)))
+def _common(a: Column, b: Column, part) -> Column:
+    """The number of code points that a and b have in common at one end: part(x, done, n) are the n code points next to done."""
+    most = F.least(F.length(a), F.length(b))
+    powers = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    return F.aggregate(powers, F.lit(0), lambda done, n: F.when((done <= most - n) & (part(a, done, n) == part(b, done, n)), done + n).otherwise(done))
 
 
 def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -81,58 +83,87 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
             return let(match, lambda m: grow(0, (), m))
 
         numbered = F.transform(t, lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
-        end = F.aggregate(numbered, start, step)
+        end = F.aggregate(numbered, start, lambda acc, x: F.when(acc[f"r{edits}"] == 0, acc).otherwise(step(acc, x)))
         place = F.size(p) - F.size(t) + edits
         return F.getbit(end[f"r{edits}"], place) == 1
 
+    def cores(a: Column, b: Column) -> Column:
+        end = _common(a, b, lambda x, done, n: F.substring(x, F.length(x) - done - n + 1, n))
+        return let(end, lambda e: let(F.split(F.substring(a, F.lit(1), F.length(a) - e), ""), lambda p: let(F.split(F.substring(b, F.lit(1), F.length(b) - e), ""), lambda t: walk(p, t))))
+
     near = F.abs(F.length(a) - F.length(b)) <= edits
-    return F.when(near, let(F.split(a, ""), lambda p: let(F.split(b, ""), lambda t: walk(p, t)))).otherwise(F.lit(False))
+    rest = lambda x, done: F.substring(x, done + 1, F.length(x))
+    start = _common(a, b, lambda x, done, n: F.substring(x, done + 1, n))
+    return F.when(near, let(start, lambda d: let(rest(a, d), lambda x: let(rest(b, d), lambda y: cores(x, y))))).otherwise(F.lit(False))
+
+
+def line_rows(docs: DataFrame, id_col: str) -> DataFrame:
+    """id, th (hash of the text), no, h1, h2 (hashes), n (code points) and keys (null for short lines) of every line that has a word."""
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    lines = lines.where(F.expr(r"btrim(line, ' \t\n\u000b\u000c\r') <> ''")).withColumn("n", F.length("line"))
+    return lines.select("id", "th", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", F.when(F.col("n") >= LEAST, segment_keys("line", "n")).alias("keys"))
 
 
-def lines_of(docs: DataFrame, id_col: str) -> DataFrame:
-    """id, no, line of every line that has a word, with its two hashes."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length(F.translate("line", SPACES, "")) > 0)
-    return rows.select("id", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+def _rare_pairs(lines: DataFrame) -> DataFrame:
+    """lines: id, line. Returns id, n and first, the first 2 * EDITS + 1 pairs of neighbouring characters in the common order."""
+    pairs = let(F.split("line", ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.xxhash64(*(F.get(c, i + j) for j in range(GRAM)))))
+    own = stored(lines.select("id", F.length("line").alias("n"), F.array_distinct(pairs).alias("pairs")), "line-pairs")
+    slot = lambda x: F.pmod(x, F.lit(SLOTS))
+    counts = own.select(F.explode(F.transform("pairs", slot)).alias("slot")).groupBy("slot").count()
+    counts = lines.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(counts, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("count", F.lit(0)).alias("count")))).alias("counts"))
+    counts = stored(counts.select(F.lit(1).alias("one"), F.transform("counts", lambda x: x["count"]).alias("counts")), "line-counts")  # one row of SLOTS numbers
+    ranked = F.sort_array(F.transform("pairs", lambda x: F.struct(F.get("counts", slot(x).cast("int")).alias("count"), x.alias("pair"))))
+    both = own.withColumn("one", F.lit(1)).join(F.broadcast(counts), "one")
+    return both.select("id", "n", F.transform(F.slice(ranked, 1, GRAM * EDITS + 1), lambda x: x["pair"]).alias("first"))
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """id, dropped (array of no, near, n_chars of each line that goes) of the documents that lose lines."""
-    lines = lines_of(docs, id_col)
-    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "no")
-    occurrences = lines.select("id", "no", "h1", "h2", F.length("line").alias("n_chars"))
-    first = occurrences.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("n_chars").alias("n_chars"))
-    first = stored(first, "line-firsts")
-
-    keyed = lines.where(F.length("line") >= LEAST).select(F.col("h1").alias("id"), F.explode(probe_keys(F.col("line"))).alias("key"))
-    buckets = Buckets(keyed, "lines")
-    wanted = buckets.ids().withColumnRenamed("id", "h1")
-    at = first.join(wanted, "h1", "left_semi").select("h1", F.col("first.id").alias("id"), F.col("first.no").alias("no"))
-    at = stored(at.groupBy("id").agg(F.collect_list(F.struct("no", "h1")).alias("want")), "line-places")
-    some = marked(docs.select(F.col(id_col).alias("_id"), "text"), F.col("_id"), at, "id").where("_hit").drop("_hit")
-    texts = some.join(at, F.col("_id").eqNullSafe(F.col("id")))
-    texts = texts.select(F.split("text", "\n").alias("ls"), F.explode("want").alias("w")).select(F.col("w.h1").alias("id"), F.get("ls", F.col("w.no")).alias("line"))
-    texts = texts.where(F.xxhash64("line") == F.col("id"))  # other rows of the same id may hold other texts
+    """k (of document_key) and dropped (array of no, near, n_chars of each line that goes) of the documents that lose lines."""
+    rows = stored(line_rows(docs, id_col), "line-rows")
+    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "th", "no")
+    buckets = Buckets(rows.where("keys is not null").select(F.col("h1").alias("id"), F.explode("keys").alias("key")), "lines")
+    members = stored(buckets.ids().withColumnRenamed("id", "h1"), "line-members")
+    repeated = rows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").select("h1")
+    told = stored(repeated.unionByName(members), "line-told")  # all lines that may go, or make others go
+    rows = stored(marked(rows.drop("keys"), F.col("h1"), told, "h1").where("_hit").drop("_hit"), "line-some")
+    first = stored(rows.groupBy("h1", "h2").agg(F.min(place).alias("first")), "line-firsts")
+
+    at = first.join(members, "h1", "left_semi").select("h1", document_key("first.id", "first.th").alias("k"), F.col("first.no").alias("no"))
+    at = stored(at.groupBy("k").agg(F.collect_list(F.struct("no", "h1")).alias("want")), "line-places")
+    some = marked(docs.select(document_key(id_col, F.xxhash64("text")).alias("k"), "text"), F.col("k"), at, "k").where("_hit").drop("_hit")
+    texts = some.join(at, "k").select(F.split("text", "\n").alias("ls"), F.explode("want").alias("w")).select(F.col("w.h1").alias("id"), F.get("ls", F.col("w.no")).alias("line"))
     texts = stored(texts.dropDuplicates(["id"]), "line-texts")
 
     def check(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.where(within_edits(F.col("x"), F.col("y"))).select("a", "b")
 
-    _, found = buckets.linked(check)
-    named = first.join(found, first.h1 == found.id, "left").select("h1", "h2", "first", F.coalesce("component", "h1").alias("group"), F.col("component").isNotNull().alias("linked"))
-    earliest = named.where("linked").groupBy("group").agg(F.min("first").alias("head"))
-    named = named.join(earliest, "group", "left").select("h1", "h2", F.col("first"), F.coalesce("head", "first").alias("head"))
-    gone = occurrences.join(named, ["h1", "h2"]).where(place != F.col("head"))
-    return gone.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("no", (place == F.col("first")).alias("near"), "n_chars"))).alias("dropped"))
+    def rest(mixed: DataFrame) -> DataFrame:
+        rare = stored(_rare_pairs(texts.join(mixed.select("id").distinct(), "id", "left_semi")), "line-rare")
+        finer = mixed.join(rare, "id").select("key", "id", "c", "n", F.explode("first").alias("pair"))
+        finer = stored(finer.select(F.xxhash64("key", "pair").alias("bucket"), "id", "c", "n"), "line-finer")
+        return meet(finer, lambda x, y: F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= EDITS)
+
+    _, found = buckets.linked(check, rest)
+    named = first.join(found, first.h1 == found.id, "left").select("h1", "h2", "first", F.coalesce("component", "h1").alias("group"), F.when(F.col("component").isNull(), F.col("h2")).alias("apart"))
+    heads = named.groupBy("group", "apart").agg(F.min("first").alias("head"), F.count("*").alias("_n"))
+    named = named.join(heads, (named.group == heads.group) & named.apart.eqNullSafe(heads.apart)).select("h1", "h2", "first", "head")
+    gone = rows.join(named, ["h1", "h2"]).where(place != F.col("head"))
+    return gone.groupBy(document_key("id", "th").alias("k")).agg(F.sort_array(F.collect_set(F.struct("no", (place == F.col("first")).alias("near"), F.col("n").alias("n_chars")))).alias("dropped"))
+
+
+def document_key(id_: str, th: str | Column) -> Column:
+    """One number for the id and the hash of the text."""
+    return F.xxhash64(F.col(id_).isNull(), id_, th)
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """docs with their remaining lines as text, and n_lines (before), n_equal, n_near (lines that went as copies of a line, as near
     copies) and dropped (their numbers)."""
     kept = kept_columns(docs, "n_lines", "n_equal", "n_near", "dropped")
-    gone = stored(dropped_lines(docs, id_col=id_col).withColumnRenamed("id", "_id").withColumnRenamed("dropped", "_gone"), "line-dropped")
-    all_ = marked(docs.select(F.struct(*kept).alias("_row"), F.col(id_col).alias("_doc"), "text"), F.col("_doc"), gone, "_id")
-    touched = all_.where("_hit").join(gone, F.col("_doc").eqNullSafe(F.col("_id")), "left").drop("_hit", "_id")
+    gone = stored(dropped_lines(docs, id_col=id_col).withColumnRenamed("dropped", "_gone"), "line-dropped")
+    all_ = marked(docs.select(F.struct(*kept).alias("_row"), document_key(id_col, F.xxhash64("text")).alias("_doc"), "text"), F.col("_doc"), gone, "k")
+    touched = all_.where("_hit").join(gone, F.col("_doc") == F.col("k"), "left").drop("_hit", "k")
     rows = touched.unionByName(all_.where("not _hit").drop("_hit").withColumn("_gone", F.lit(None).cast(gone.schema["_gone"].dataType)))
     numbers = F.coalesce(F.transform("_gone", lambda g: g["no"]), F.expr("cast(array() as array<int>)"))
     keep = let(F.split("text", "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("dropped")), lambda i: F.get(ls, i)), "\n"))

@@ -1,8 +1,10 @@
 """Linking rows that share a bucket: candidate pairs without all pairs of a bucket, and connected components.
 
 Rows that share a key are candidates. A bucket first links each member to its smallest member only, so that a group of n near
-copies costs n checks. What that can't settle, members of one bucket that ended in different components, is checked pair by
-pair. A pair within one component needs no check: its link would join nothing. So the components are those of all links.
+copies costs n checks. What that can't settle, members of one bucket that ended in different components, goes to a second step,
+which the operator gives: finer buckets such that any two linked rows still share one (for instance their rarest features, by
+the prefix filter). There the rows outside a bucket's main component meet the others. A pair within one component needs no
+check: its link would join nothing. So the components are those of all links.
 """
 
 from __future__ import annotations
@@ -41,6 +43,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def meet(rows: DataFrame, may: Callable[[str, str], Column]) -> DataFrame:
+    """rows: bucket, id, c (component) and more. The pairs (a, b), a < b, of one bucket and different components for which
+    may(x, y) holds, a condition on the columns x.* and y.* that every link meets. Of each bucket the rows outside its main
+    component (that of the most rows overall) are held against all rows, so that a group of linked rows doesn't meet itself."""
+    sizes = rows.groupBy("c").agg(F.count("*").alias("_size"))
+    heads = rows.select("bucket", "c").join(sizes, "c").groupBy("bucket").agg(F.max(F.struct("_size", "c"))["c"].alias("main"), F.min("c").alias("_c"), F.max("c").alias("_d"))
+    rows = rows.join(heads.where("_c <> _d").select("bucket", "main"), "bucket")
+    x, y = rows.where("c <> main").alias("x"), rows.alias("y")
+    once = (F.col("y.c") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    both = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & once & may("x", "y"))
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
 class Buckets:
     """keys: key, id. Only rows of buckets that several ids share are kept."""
 
@@ -55,54 +70,19 @@ class Buckets:
         """All ids that share a bucket with another one."""
         return self.rows.select("id").distinct()
 
-    def linked(self, check: Check, *, traits: DataFrame | None = None, may: Callable[[str, str], Column] | None = None, part: Column | None = None, levels: int = 1, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
+    def linked(self, check: Check, rest: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
         """(links found, id and component of every linked id).
 
-        traits: id, band and columns. Pairs meet only if their bands are equal or neighbours, and if may(x, y) holds, a condition
-        on the traits (x.t, y.t) that costs little and that every link meets.
-        part: the part of a row that a key looks at, as a number of `key`. If any pair that may be linked shares keys of at least
-        `levels` different parts, buckets of more than limit members of a band are split by a second key, of a later part, and
-        so on: no row meets more than limit others for each of its keys, but at the last level."""
+        rest: gets key, id and c, the rows of buckets that hold several components, and gives the pairs that are still to be
+        checked: all links between different components must be among them."""
         pairs = self.rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         links = stored(check(pairs), f"{self.name}-links")
         found = stored(components(links), f"{self.name}-found")
-        rows = self.rows.join(found, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("c"))
-        rows = rows.withColumn("last", part if part is not None else F.lit(0))
-        if traits is not None:
-            rows = self._mixed(rows).drop("n").join(traits, "id").withColumn("in_band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-        else:
-            rows = rows.withColumn("band", F.lit(0)).withColumn("in_band", F.lit(0))
-        base = self._mixed(rows)
-        if base.isEmpty():
-            return links, found
-        level, todo, met = 1, base, None
-        while True:
-            final = level >= levels
-            now = self._meet(todo if final else todo.where(F.col("n") <= limit), may)
-            met = now if met is None else met.unionByName(now)
-            large = todo.where(F.col("n") > limit).drop("n")
-            if final or large.isEmpty():
-                break
-            later = base.select("id", "in_band", F.col("key").alias("_k"), F.col("last").alias("_l"))
-            split = large.join(later, ["id", "in_band"]).where("_l > last").withColumn("key", F.xxhash64("key", "_k")).withColumn("last", F.col("_l")).withColumn("pivot", F.lit(None).cast("long"))
-            todo, level = self._mixed(split.drop("_k", "_l")), level + 1
-        more = stored(check(met.distinct()), f"{self.name}-more")
+        rows = stored(self.rows.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), f"{self.name}-rows")
+        several = rows.groupBy("key").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).where("_c <> _d").select("key")
+        mixed = stored(rows.join(several, "key"), f"{self.name}-mixed")
+        more = stored(check(rest(mixed).distinct()), f"{self.name}-more")
         if more.isEmpty():
             return links, found
         links = links.unionByName(more)
         return links, stored(components(links), f"{self.name}-found")
-
-    def _mixed(self, rows: DataFrame) -> DataFrame:
-        """The rows of buckets that hold several components, with the bucket's number of members n."""
-        keys = ["key", "in_band"] if "in_band" in rows.columns else ["key"]
-        several = rows.groupBy(*keys).agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("n")).where("_c <> _d").select(*keys, "n")
-        return stored(rows.join(several, keys), f"{self.name}-mixed")
-
-    def _meet(self, rows: DataFrame, may: Callable[[str, str], Column] | None) -> DataFrame:
-        """Pairs of different components in a bucket, but for those with the pivot, which have been checked."""
-        x, y = rows.alias("x"), rows.alias("y")
-        open_ = (F.col("x.key") == F.col("y.key")) & (F.col("x.in_band") == F.col("y.in_band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
-        open_ = open_ & (F.col("x.in_band") == F.greatest("x.band", "y.band")) & (F.col("x.pivot").isNull() | (F.col("x.id") != F.col("x.pivot")))
-        if may is not None:
-            open_ = open_ & may("x", "y")
-        return x.join(y, open_).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))

@@ -2,23 +2,28 @@
 
 A document is the set of its word shingles (hashed to 64 bits). Its signature has PLACES symbols of 8 bits, each from the
 smallest value of the set under another hash function; two signatures differ in about (1 - similarity) of the places. To find
-all pairs that differ in at most reach places, the places are split into chunks. By the pigeonhole principle at least
-LEVELS chunks of such a pair have one error at most, since two errors in all the others would be more than reach; each chunk's
-one-error neighbourhood is enumerated by leaving out one place after the other, which gives PLACES keys for a document. Pairs
-that share a key are compared on their full sets: a link needs 100 * intersection >= percent * union. Buckets with many members
-that their smallest member doesn't link, as those of documents with a passage in common, are split by size and, if still large,
-by a second chunk (see linking.py); pairs meet only if at most checked places differ in the lowest PLANES bits of their symbols,
-which are kept as one number for each bit.
+all pairs that differ in at most reach places, the places are split into chunks. By the pigeonhole principle at least one chunk
+of such a pair has one error at most, since two errors in each would be more than reach; each chunk's one-error neighbourhood is
+enumerated by leaving out one place after the other, which gives PLACES keys for a document. Pairs that share a key are
+compared on their full sets: a link needs 100 * intersection >= percent * union.
+
+What the smallest member of a bucket doesn't settle (see linking.py), as documents with a passage in common, is split by the
+prefix filter: the members' shingles are put in one order, rare ones first (by counts of hashed slots over all such members);
+a link of sets of n and m shingles has at least o = percent (n + m) / (100 + percent) in common, so that its first common
+shingle is at most the n - o + 1st of the one and the m - o + 1st of the other. Only pairs that share such a shingle are
+compared. Pairs whose signatures differ in more than checked places aren't compared on their sets.
 
 Chunks, reach and checked follow from percent (see layout): of pairs at the least similarity at most UNMET lie beyond reach, where
 they meet by chance only, and at most LOST beyond checked, where they are never compared. Percents that would need chunks of
 fewer than four places are refused.
 
-Documents with equal sets are one node: they are found by two sums over the set, not by pairs.
+Documents with equal sets are one node, named by a hash of two sums over the set; they are found without pairs.
 
 Fewer words than a shingle: the whole sequence is one shingle. No words, null or empty text: an empty set, linked with nothing.
-Repeated rows are copies. Empty table: empty result. Extra columns: `near_duplicates` gives the id, n_shingles, component_id
-and kept alone; `without_copies` keeps the input's columns.
+Texts of any length are read whole. Repeated rows are copies; rows of one id with different texts are documents of their own
+with that id. Ids may be of any type that has an order; a group of rows without ids has a null component. Empty table: empty
+result. Extra columns: `near_duplicates` gives the id, n_shingles, component_id and kept alone; `without_copies` keeps the
+input's columns.
 """
 
 from __future__ import annotations
@@ -34,9 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import marked, read_table, stored
-from lodestone.llm.linking import Buckets
+from lodestone.llm.linking import Buckets, meet
 
-PLACES, PLANES, LEVELS = 64, 4, 2
+PLACES, SLOT_BITS = 64, 16
 FEWEST, MOST, UNMET, LOST = 12, 16, 1e-4, 1e-8
 REMEMBERED = 400_000
 _RNG = np.random.default_rng(20240229)
@@ -63,7 +68,7 @@ def beyond(percent: int, most: int) -> float:
 def layout(percent: int) -> Layout:
     """The fewest chunks, from FEWEST on, whose reach leaves at most UNMET of the pairs at the least similarity."""
     for chunks in range(FEWEST, MOST + 1):
-        reach = 2 * (chunks - LEVELS + 1) - 1
+        reach = 2 * chunks - 1
         if beyond(percent, reach) <= UNMET:
             bounds = tuple((PLACES * i // chunks, PLACES * (i + 1) // chunks) for i in range(chunks))
             return Layout(bounds, reach, next(k for k in range(reach, PLACES + 1) if beyond(percent, k) <= LOST))
@@ -138,87 +143,114 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((_symbols(a) != _symbols(b)).sum(axis=1).astype(np.int32))
 
 
-def _planes(sig: bytes) -> list[int]:
-    """The lowest bits of all symbols, the second lowest, ..."""
-    symbols = np.frombuffer(sig, np.uint8)
-    return [int(np.packbits((symbols >> k) & 1).view(">i8")[0]) for k in range(PLANES)]
-
-
 def sketches(docs: DataFrame, width: int, *, id_col: str = "doc_id") -> DataFrame:
-    """id, n_shingles, sum1 and sum2 (of the set's hashes; equal sets have equal ones), sig and planes."""
+    """id, th (hash of the text), n_shingles, node (equal sets have equal ones; null for the empty set) and sig."""
 
-    @F.pandas_udf("n_shingles long, sum1 long, sum2 long, sig binary, planes array<long>")
+    @F.pandas_udf("n_shingles long, sum1 long, sum2 long, sig binary")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             s = shingles(text, width)
-            sig = signature(s).tobytes() if len(s) else None
-            rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(_mixed(s + _STEP).sum(dtype=np.uint64).astype(np.int64)), sig, _planes(sig) if sig else None))
-        return pd.DataFrame(rows, columns=["n_shingles", "sum1", "sum2", "sig", "planes"])
+            rows.append((len(s), *_sums(s), signature(s).tobytes() if len(s) else None))
+        return pd.DataFrame(rows, columns=["n_shingles", "sum1", "sum2", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), sketch("text").alias("s")).select("id", "s.*")
+    out = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), sketch("text").alias("s"))
+    return out.select("id", "th", "s.n_shingles", _node("s.n_shingles", "s.sum1", "s.sum2").alias("node"), "s.sig")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """docs: id, text. Returns id and its set."""
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    return int(s.sum(dtype=np.uint64).astype(np.int64)), int(_mixed(s + _STEP).sum(dtype=np.uint64).astype(np.int64))
 
-    @F.pandas_udf("array<long>")
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, width).astype(np.int64) for t in texts])
 
-    return docs.select("id", sets("text").alias("s"))
+def _node(n: str, sum1: str, sum2: str) -> Column:
+    return F.when(F.col(n) > 0, F.xxhash64(n, sum1, sum2))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """id, n_shingles, component_id (the smallest id that links lead to) and kept (whether that is the row's own id)."""
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """texts: text. Returns node and s, its set."""
+
+    @F.pandas_udf("s array<long>, sum1 long, sum2 long")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        rows = [shingles(t, width) for t in texts]
+        return pd.DataFrame([(s.astype(np.int64), *_sums(s)) for s in rows], columns=["s", "sum1", "sum2"])
+
+    out = texts.select(sets("text").alias("x")).select("x.*").withColumn("n", F.size("s").cast("long"))
+    return out.select(_node("n", "sum1", "sum2").alias("node"), "s")
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """sets: id, c, s. A row (bucket, id, c, n, rank) for each of the first shingles of a set in the common order."""
+    slot = lambda x: F.shiftrightunsigned(x, 64 - SLOT_BITS)
+    rows = sets.select(F.explode(F.transform("s", slot)).alias("slot")).groupBy("slot").count().collect()  # at most 2^SLOT_BITS
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in rows:
+        counts[r["slot"]] = r["count"]
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def first(sets: pd.Series) -> pd.Series:
+        out = []
+        for s in sets:
+            x = np.asarray(s, np.int64)
+            order = np.lexsort((x, shared.value[x.view(np.uint64) >> np.uint64(64 - SLOT_BITS)]))
+            out.append(x[order[: len(x) + 1 + -percent * len(x) // 100]])  # all but ceil(percent of them), and one
+        return pd.Series(out)
+
+    ranked = sets.select("id", "c", F.size("s").cast("long").alias("n"), first("s").alias("first"))
+    return ranked.select("id", "c", "n", F.posexplode("first").alias("rank", "bucket"))
+
+
+def _groups(docs: DataFrame, width: int, percent: int, id_col: str) -> DataFrame:
+    """id, th, n_shingles and node of each row, and least, the smallest id of its component (null for the empty set)."""
     plan = layout(percent)
     thin = stored(sketches(docs, width, id_col=id_col), "near-sketches")
-    same = ["n_shingles", "sum1", "sum2"]
-    nodes = thin.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("planes").alias("planes"))
+    nodes = thin.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("th").alias("th"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "near-nodes")
     buckets = Buckets(nodes.select(F.explode(_keys("sig", plan.bounds)).alias("key"), F.col("node").alias("id")), "near")
-    members = stored(buckets.ids(), "near-members")
-    whole = marked(docs.select(F.col(id_col).cast("long").alias("id"), "text"), F.col("id"), members, "id").where("_hit").drop("_hit")
-    texts = whole.join(members, "id", "left_semi").dropDuplicates(["id"])
-    sets = stored(shingle_sets(texts, width), "near-sets")
-    sigs = nodes.select(F.col("node").alias("id"), "sig").join(members, "id", "left_semi")
+    members = stored(nodes.join(buckets.ids().withColumnRenamed("id", "node"), "node").select(F.col("node").alias("id"), "th", "sig"), "near-members")
+    wanted = members.select("th")
+    whole = marked(docs.select("text", F.xxhash64("text").alias("th")), F.col("th"), wanted, "th").where("_hit").drop("_hit")
+    texts = whole.join(wanted.distinct(), "th", "left_semi").dropDuplicates(["th"])
+    sets = stored(shingle_sets(texts, width).withColumnRenamed("node", "id").dropDuplicates(["id"]), "near-sets")
 
     def check(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+        near = pairs.join(members.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(members.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
         near = near.where(_distance("x", "y") <= plan.checked).select("a", "b")
         both = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
         return common.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
 
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(100 / percent) * 1.000001)) if percent < 100 else F.col("n_shingles")
-    traits = nodes.select(F.col("node").alias("id"), *(F.get("planes", F.lit(k)).alias(f"p{k}") for k in range(PLANES)), F.col("n_shingles").alias("size"), band.cast("long").alias("band"))
-    like_size = lambda x, y: 100 * F.least(f"{x}.size", f"{y}.size") >= percent * F.greatest(f"{x}.size", f"{y}.size")
-
-    def like_symbols(x: str, y: str) -> Column:
-        other = F.lit(0).cast("long")
-        for k in range(PLANES):
-            other = other.bitwiseOR(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}")))
-        return F.bit_count(other) <= plan.checked
+    def rest(mixed: DataFrame) -> DataFrame:
+        some = stored(sets.join(mixed.select("id", "c").distinct(), "id"), "near-mixed-sets")
+        in_common = lambda x: (100 + percent) * (F.col(f"{x}.n") - F.col(f"{x}.rank")) >= percent * (F.col("x.n") + F.col("y.n"))
+        return meet(stored(_prefixes(some, percent), "near-prefixes"), lambda x, y: in_common(x) & in_common(y))
 
-    _, found = buckets.linked(check, traits=traits, may=lambda x, y: like_size(x, y) & like_symbols(x, y), part=_chunk("key", plan.bounds), levels=LEVELS)
-    named = nodes.join(found, nodes.node == found.id, "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    out = thin.join(named, same, "left").select(F.col("id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    _, found = buckets.linked(check, rest)
+    named = nodes.join(found, nodes.node == found.id, "left").select("node", "least", F.coalesce("component", "node").alias("c"))
+    least = named.groupBy("c").agg(F.min("least").alias("least"))
+    named = named.select("node", "c").join(least, "c").select("node", "c", "least")
+    return stored(thin.drop("sig").join(named, "node", "left"), "near-groups")
 
 
-def _chunk(key: str, bounds: tuple[tuple[int, int], ...]) -> Column:
-    """The chunk of a key: its symbols take 8 bits each, one less than the chunk has places."""
-    out = F.lit(None).cast("long")
-    for c, (a, b) in enumerate(bounds):
-        low = (c * 8) << (8 * (b - a - 1))
-        out = F.when(F.col(key).between(low, ((c * 8 + 8) << (8 * (b - a - 1))) - 1), F.lit(c)).otherwise(out)
-    return out
-
-
-def without_copies(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those that aren't kept; repeated rows of a kept id stay once, rows without an id all stay."""
-    kept = near_duplicates(docs, id_col=id_col, **how).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+    """id, n_shingles, component_id (the smallest id that links lead to) and kept (whether that is the row's own id)."""
+    rows = _groups(docs, width, percent, id_col).withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least")))
+    return rows.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def without_copies(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each component: that of the smallest id, and of the smallest hash of the text among rows of that id;
+    of repeated rows one. Rows without words all stay. Only rows of texts that something happens to are shuffled."""
+    rows = _groups(docs, width, percent, id_col).where("node is not null")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    stays = rows.groupBy("c").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    touched = stored(rows.join(stays, "c").select(F.xxhash64("id", "th").alias("k"), (place == F.col("first")).alias("stays")).groupBy("k").agg(F.max("stays").alias("stays")), "near-touched")
+    kept = docs.columns
+    all_ = marked(docs.select(F.struct(*kept).alias("_row"), F.xxhash64(id_col, F.xxhash64("text")).alias("_k")), F.col("_k"), touched, "k")
+    some = all_.where("_hit").join(touched, F.col("_k") == F.col("k"), "left")
+    one = some.where("stays").dropDuplicates(["_k"])
+    out = some.where("stays is null").select("_row").unionByName(one.select("_row")).unionByName(all_.where("not _hit").select("_row"))
+    return out.select("_row.*")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,6 +397,44 @@ def test_near_duplicates_lose_no_link(spark):
     assert all(r.kept == (r.component_id == i) for i, r in rows.items())
 
 
+def test_near_duplicates_repeated_and_missing_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b + " end"), (3, b + " end"), (None, b), (None, "else where"), (None, "else where"), (9, None), (9, None)]
+    df = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.component_id, r.n_shingles, r.kept) for r in near_duplicates.near_duplicates(df, width=3, percent=85).collect()), key=str)
+    assert got == sorted([(1, 1, 58, True), (1, 1, 58, True), (2, 1, 58, False), (3, 1, 59, False), (3, 1, 59, False), (None, 1, 58, False), (None, None, 1, True), (None, None, 1, True), (9, 9, 0, True), (9, 9, 0, True)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in near_duplicates.without_copies(df, width=3, percent=85).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, "else where"), (9, None), (9, None)], key=str)
+    names = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert {(r.doc_id, r.component_id) for r in near_duplicates.near_duplicates(names, width=3, percent=85).collect()} >= {("d2", "d1"), ("d3", "d1"), ("d9", "d9")}
+
+
+def test_near_duplicates_split_large_buckets(spark):
+    rnd = random.Random(4)
+    passage = [f"p{i}" for i in range(200)]
+    texts = [" ".join(passage + [f"q{i}_{k}" for k in range(rnd.randint(25, 45))]) for i in range(150)]  # about 0.75 alike, not linked
+    base = [f"b{i}" for i in range(200)]
+    for i in range(80):  # some linked to one another, some to none
+        words = list(base)
+        for k in range(rnd.randint(1, 9)):
+            words[rnd.randint(0, 199)] = f"e{i}_{k}"
+        texts.append(" ".join(words))
+    sets = [set(zip(*(t.split()[k:] for k in range(3)))) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    compared, check = [], linking.Buckets.linked
+
+    def counting(self, check_, rest):
+        return check(self, check_, lambda mixed: (pairs := rest(mixed).cache(), compared.append(pairs.distinct().count()))[0])
+
+    linking.Buckets.linked = counting
+    try:
+        rows = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs(spark, texts), width=3, percent=85).collect()}
+    finally:
+        linking.Buckets.linked = check
+    assert rows == _groups(range(len(texts)), links) and len(set(rows.values())) > 150
+    assert compared[0] < 800  # of 11175 pairs that have the passage in common, and 3160 of the others
+
+
 def test_near_duplicates_at_the_least_similarity(spark):
     rnd, texts = random.Random(9), []
     for k in itertools.count():  # pairs of 0.8 whose signatures differ more than usual, but within reach
@@ -415,40 +453,96 @@ def test_near_duplicates_layout_follows_percent(spark):
     for percent in range(76, 101):
         bounds, reach, checked = near_duplicates.layout(percent)
         assert near_duplicates.beyond(percent, reach) <= 1e-4 and near_duplicates.beyond(percent, checked) <= 1e-8 and reach <= checked
-        assert 2 * (len(bounds) - near_duplicates.LEVELS + 1) > reach and bounds[0][0] == 0 and bounds[-1][1] == near_duplicates.PLACES
-        keys = near_duplicates.chunk_keys(np.array([[0] * 64, [255] * 64], np.uint8), bounds)
-        rows = spark.createDataFrame([(int(k), c) for row in keys for k, c in zip(row, [c for c, (a, b) in enumerate(bounds) for _ in range(a, b)])], "key long, c int") if percent in (76, 80, 85) else None
-        assert rows is None or rows.where(near_duplicates._chunk("key", bounds) != F.col("c")).count() == 0
+        assert 2 * len(bounds) > reach and bounds[0][0] == 0 and bounds[-1][1] == near_duplicates.PLACES
     with pytest.raises(ValueError):
         near_duplicates.near_duplicates(docs(spark, ODD), percent=70)
 
 
-def test_edit_distance_and_probes(spark):
-    rnd = random.Random(3)
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
 
+def _edited(rnd, line, edits, letters="abcdé"):
+    b = list(line)
+    for _ in range(edits):
+        i = rnd.randint(0, len(b))
+        b[i : i + rnd.randint(0, 1)] = [rnd.choice(letters)] * rnd.randint(0, 1)
+    return "".join(b)
+
+
+def test_edit_distance_and_segment_keys(spark):
+    rnd = random.Random(3)
     pairs = []
-    for _ in range(400):
-        a = [rnd.choice("abcdé") for _ in range(rnd.randint(0, 45))]
-        b = list(a)
-        for _ in range(rnd.randint(0, 4)):
-            i = rnd.randint(0, len(b))
-            b[i : i + rnd.randint(0, 1)] = [rnd.choice("abcdé")] * rnd.randint(0, 1)
-        pairs.append(("".join(a), "".join(b)))
-    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.within_edits(F.col("a"), F.col("b")).alias("near"), F.arrays_overlap(line_dedup.probe_keys(F.col("a")), line_dedup.probe_keys(F.col("b"))).alias("meet")).collect()
+    for _ in range(700):
+        a = "".join(rnd.choice("abcdé" if rnd.random() < 0.9 else "a") for _ in range(rnd.choice([rnd.randint(0, 45), rnd.randint(58, 100)])))
+        pairs.append((a, _edited(rnd, a, rnd.randint(0, 4))))
+    pairs += [("a" * n, "a" * (n + d)) for n in (20, 24, 62, 63, 64, 80) for d in (0, 1, 2, 3)] + [("", ""), ("", "a"), ("ab", ""), ("abc", "")]
+    rows = spark.createDataFrame(pairs, "a string, b string").withColumn("n", F.length("a")).withColumn("m", F.length("b"))
+    rows = rows.select("a", "b", line_dedup.within_edits(F.col("a"), F.col("b")).alias("near"), F.arrays_overlap(line_dedup.segment_keys("a", "n"), line_dedup.segment_keys("b", "m")).alias("meet")).collect()
+    some = 0
     for r in rows:
-        close = distance(r.a, r.b) <= 2
+        close = _distance(r.a, r.b) <= 2
         assert r.near == close, (r.a, r.b)
         if close and min(len(r.a), len(r.b)) >= line_dedup.LEAST:
             assert r.meet, (r.a, r.b)
+            some += r.a != r.b
+    assert some > 150
+
+
+def _brute_lines(rows):
+    """{(id, text): dropped numbers with near} by all pairs."""
+    have = sorted({(i is not None, i, t or "", no, line) for i, t in rows if t is not None for no, line in enumerate(t.split("\n")) if line.strip(" \t\n\x0b\x0c\r")}, key=lambda x: (x[0], x[1] or 0, _h(x[2]) - 2**64 if _h(x[2]) >= 2**63 else _h(x[2]), x[3]))
+    lines = list(dict.fromkeys(x[4] for x in have))
+    links = [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if abs(len(lines[i]) - len(lines[j])) <= 2 and min(len(lines[i]), len(lines[j])) >= line_dedup.LEAST and _distance(lines[i], lines[j]) <= 2]
+    group, seen, first, out = _groups(range(len(lines)), links), set(), set(), {}
+    for _, i, t, no, line in have:
+        g = group[lines.index(line)]
+        if g in seen:
+            out.setdefault((i, t), []).append((no, line not in first))
+        seen.add(g)
+        first.add(line)
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rnd = random.Random(12)
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(18, 70))) for _ in range(25)]
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(60))
+    pool = base + [_edited(rnd, x, rnd.randint(1, 3), "xyz") for x in base * 3] + ["short", " \t", ""]
+    pool += [passage[:k] + "".join(rnd.choice("uvwxyz") for _ in range(6)) + passage[k:] for k in [rnd.randint(0, 60) for _ in range(60)]]  # share segments, aren't near copies
+    rows = [(rnd.choice([None, *range(40)]), "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 8)))) for _ in range(60)]
+    rows += [rows[3], rows[3], (5, None), (6, ""), (rows[4][0], rows[5][1])]
+    df = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], SCHEMA)
+    got, want = line_dedup.dedup_lines(df.withColumn("key", F.col("text"))).collect(), _brute_lines(rows)
+    assert len(got) == len(rows) and sum(map(len, want.values())) > 100
+    for r in got:
+        gone = want.get((r.doc_id, r.key), [])
+        assert r.dropped == [no for no, _ in gone] and r.n_near == sum(near for _, near in gone) and r.n_equal == len(gone) - r.n_near
+        lines = None if r.key is None else r.key.split("\n")
+        assert r.text == (None if lines is None else "\n".join(x for no, x in enumerate(lines) if no not in r.dropped)) and r.n_lines == len(lines or ())
+
+
+def test_line_dedup_splits_lines_with_a_passage_in_common(spark):
+    rnd = random.Random(21)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    lines = [passage[:k] + "".join(rnd.choice("ijklmnopqrstuvwxyz") for _ in range(8)) + passage[k + 8 :] for k in range(0, 292)]
+    compared, linked = [], linking.Buckets.linked
+
+    def counting(self, check_, rest):
+        return linked(self, check_, lambda mixed: (pairs := rest(mixed).cache(), compared.append(pairs.distinct().count()))[0])
+
+    linking.Buckets.linked = counting
+    try:
+        rows = line_dedup.dedup_lines(docs(spark, lines)).collect()
+    finally:
+        linking.Buckets.linked = linked
+    assert all(r.dropped == [] for r in rows) and compared[0] < 6000  # of 42486
 
 
 def test_line_dedup(spark):
@@ -456,7 +550,7 @@ def test_line_dedup(spark):
     texts = [f"{line}\nother\n\nother", f"{line.replace('one', 'two')}\nkept line that is different", None, f"{line}\nother", "", line.replace("long", "lang")]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
     assert got[0].text == f"{line}\nother\n" and got[0].dropped == [3]
-    assert (got[1].n_near, got[1].n_equal) == (0, 0) or got[1].text == "kept line that is different"
+    assert (got[1].n_near, got[1].n_equal, got[1].text) == (0, 0, texts[1])  # three edits
     assert got[2].text is None and got[2].n_lines == 0 and got[3].text == "" and got[3].n_equal == 2 and got[4].text == ""
     assert got[5].text == "" and got[5].n_near == 1
     assert line_dedup.dedup_lines(docs(spark, ODD).limit(0)).count() == 0 and line_dedup.dedup_lines(docs(spark, ODD)).count() == len(ODD)
