@@ -9,9 +9,10 @@ the middle one at its place and one place on (of two lines shifted by one place,
 have a partner in the class below, one or two code points shorter, has the keys of that class as well.
 
 Lines that share a key are candidates. What the smallest line of a bucket doesn't settle (see linking.py), as lines with a
-passage in common, is split by the prefix filter: two edits destroy at most four of a line's pairs of neighbouring characters,
-so that linked lines share one of the five first pairs of each in any common order; rare ones come first (by counts of hashed
-slots over all such lines). Candidates are checked by an edit distance on bits, on what is left of them without their common
+passage in common, is split by the prefix filter: two edits destroy at most four of a line's pairs of neighbouring characters
+(equal pairs of a line are told apart by number), so that linked lines share one of the five first pairs of each in any common
+order; rare ones come first (by counts of hashed slots over all such lines). Of the CHUNKS even chunks of a line two edits
+leave all but two standing, at most two places away; pairs for which more are gone are no candidates. Candidates are checked by an edit distance on bits, on what is left of them without their common
 start and end: one word for each number of errors, whose bits are the 2 EDITS + 1 diagonals around the middle, shifted along
 the lines character by character.
 
@@ -33,7 +34,7 @@ from lodestone.llm.common import kept_columns, let, marked, read_table, stored
 from lodestone.llm.linking import Buckets, meet
 
 EDITS, LEAST = 2, 20
-GRAM, SLOTS = 2, 1 << 16
+GRAM, SLOTS, CHUNKS = 2, 1 << 16, 16
 
 
 def segment_keys(line: str, n: str) -> Column:
@@ -56,10 +57,26 @@ def _common(a: Column, b: Column, part) -> Column:
     return F.aggregate(powers, F.lit(0), lambda done, n: F.when((done <= most - n) & (part(a, done, n) == part(b, done, n)), done + n).otherwise(done))
 
 
-def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether two lines are at most `edits` insertions, deletions and substitutions apart. Bit d of word e after j characters
+def _may_be_near(p: Column, t: Column) -> Column:
+    """Whether two lines without common start and end may be two edits apart: both their first and their last characters differ,
+    so that one edit is at the very start and one at the very end, and what is between is equal."""
+    edits = ((1, 1), (1, 0), (0, 1))  # characters of p and of t that an edit takes
+
+    def between(first: tuple[int, int], last: tuple[int, int]) -> Column:
+        n, m = F.length(p) - first[0] - last[0], F.length(t) - first[1] - last[1]
+        return (n == m) & (F.substring(p, F.lit(first[0] + 1), n) == F.substring(t, F.lit(first[1] + 1), m))
+
+    any_ = F.least(F.length(p), F.length(t)) <= EDITS
+    for first in edits:
+        for last in edits:
+            any_ = any_ | between(first, last)
+    return any_
+
+
+def within_edits(a: Column, b: Column) -> Column:
+    """Whether two lines are at most EDITS insertions, deletions and substitutions apart. Bit d of word e after j characters
     of b says: the first j - edits + d characters of a become the first j of b by at most e edits."""
-    width = 2 * edits + 1
+    edits, width = EDITS, 2 * EDITS + 1
     mask = (1 << width) - 1
 
     def walk(p: Column, t: Column) -> Column:
@@ -89,7 +106,9 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
 
     def cores(a: Column, b: Column) -> Column:
         end = _common(a, b, lambda x, done, n: F.substring(x, F.length(x) - done - n + 1, n))
-        return let(end, lambda e: let(F.split(F.substring(a, F.lit(1), F.length(a) - e), ""), lambda p: let(F.split(F.substring(b, F.lit(1), F.length(b) - e), ""), lambda t: walk(p, t))))
+        without = lambda x, e: F.substring(x, F.lit(1), F.length(x) - e)
+        bits = lambda p, t: let(F.split(p, ""), lambda p: let(F.split(t, ""), lambda t: walk(p, t)))
+        return let(end, lambda e: let(without(a, e), lambda p: let(without(b, e), lambda t: F.when(_may_be_near(p, t), bits(p, t)).otherwise(F.lit(False)))))
 
     near = F.abs(F.length(a) - F.length(b)) <= edits
     rest = lambda x, done: F.substring(x, done + 1, F.length(x))
@@ -104,17 +123,44 @@ def line_rows(docs: DataFrame, id_col: str) -> DataFrame:
     return lines.select("id", "th", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", F.when(F.col("n") >= LEAST, segment_keys("line", "n")).alias("keys"))
 
 
+def _numbered(pairs: Column) -> Column:
+    """pairs: ascending numbers. Each with how many equal ones stand before it (31 at most, found by halving), as one number."""
+    before = lambda x, j: F.aggregate(F.array(*map(F.lit, (16, 8, 4, 2, 1))), F.lit(0), lambda n, p: F.when(F.get(pairs, j - n - p) == x, n + p).otherwise(n))
+    return F.transform(pairs, lambda x, j: F.xxhash64(x, before(x, j)))
+
+
 def _rare_pairs(lines: DataFrame) -> DataFrame:
-    """lines: id, line. Returns id, n and first, the first 2 * EDITS + 1 pairs of neighbouring characters in the common order."""
-    pairs = let(F.split("line", ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.xxhash64(*(F.get(c, i + j) for j in range(GRAM)))))
-    own = stored(lines.select("id", F.length("line").alias("n"), F.array_distinct(pairs).alias("pairs")), "line-pairs")
+    """lines: id, line. Returns id, n, width, chunks and first, the first GRAM * EDITS + 1 pairs of neighbouring characters in the
+    common order; the second, third, ... of equal pairs in a line are features of their own."""
+    pairs = let(F.split("line", ""), lambda c: F.sort_array(F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.xxhash64(*(F.get(c, i + j) for j in range(GRAM))))))
+    lines = lines.withColumn("n", F.length("line")).withColumn("width", F.expr(f"cast(greatest(1, (n - n % if(n < 64, 4, 16)) div {CHUNKS}) as int)"))
+    own = stored(lines.select("id", "n", "width", _chunks(F.col("line"), F.col("width")).alias("chunks"), F.array_distinct(let(pairs, _numbered)).alias("pairs")), "line-pairs")
     slot = lambda x: F.pmod(x, F.lit(SLOTS))
     counts = own.select(F.explode(F.transform("pairs", slot)).alias("slot")).groupBy("slot").count()
     counts = lines.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(counts, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("count", F.lit(0)).alias("count")))).alias("counts"))
     counts = stored(counts.select(F.lit(1).alias("one"), F.transform("counts", lambda x: x["count"]).alias("counts")), "line-counts")  # one row of SLOTS numbers
     ranked = F.sort_array(F.transform("pairs", lambda x: F.struct(F.get("counts", slot(x).cast("int")).alias("count"), x.alias("pair"))))
     both = own.withColumn("one", F.lit(1)).join(F.broadcast(counts), "one")
-    return both.select("id", "n", F.transform(F.slice(ranked, 1, GRAM * EDITS + 1), lambda x: x["pair"]).alias("first"))
+    first = F.transform(F.slice(ranked, 1, GRAM * EDITS + 1), lambda x: x["pair"])
+    return both.select("id", "n", "width", "chunks", first.alias("first"))
+
+
+def _chunks(line: Column, width: Column) -> Column:
+    """Hashes of CHUNKS runs of width characters, one after the other, each at its place and at up to EDITS places to each side."""
+    shifts = F.array(*map(F.lit, range(-EDITS, EDITS + 1)))
+    at = lambda i, s: F.when(i * width + s >= 0, F.hash(F.substring(line, i * width + s + 1, width)))
+    return F.transform(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda i: F.transform(shifts, lambda s: at(i, s)))
+
+
+def _chunks_agree(x: str, y: str) -> Column:
+    """Whether all chunks of each line but EDITS are near their places in the other, as two edits destroy two of them; true where
+    widths differ."""
+
+    def lost(x: str, y: str) -> Column:
+        found = lambda i: F.coalesce(F.array_contains(F.get(f"{x}.chunks", i), F.get(F.get(f"{y}.chunks", i), F.lit(EDITS))), F.lit(False))
+        return F.size(F.filter(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda i: ~found(i)))
+
+    return (F.col(f"{x}.width") != F.col(f"{y}.width")) | ((lost(x, y) <= EDITS) & (lost(y, x) <= EDITS))
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -140,9 +186,10 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
     def rest(mixed: DataFrame) -> DataFrame:
         rare = stored(_rare_pairs(texts.join(mixed.select("id").distinct(), "id", "left_semi")), "line-rare")
-        finer = mixed.join(rare, "id").select("key", "id", "c", "n", F.explode("first").alias("pair"))
-        finer = stored(finer.select(F.xxhash64("key", "pair").alias("bucket"), "id", "c", "n"), "line-finer")
-        return meet(finer, lambda x, y: F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= EDITS)
+        finer = mixed.join(rare, "id").select("key", "id", "c", "n", "width", "chunks", "first", F.explode("first").alias("pair"))
+        finer = stored(finer.select(F.xxhash64("key", "pair").alias("bucket"), "id", "c", "n", "width", "chunks", "first", "pair"), "line-finer")
+        once = lambda x, y: F.get(F.array_intersect(f"{x}.first", f"{y}.first"), F.lit(0)) == F.col(f"{x}.pair")  # noqa: E731  the first that they share
+        return meet(finer, lambda x, y: once(x, y) & (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= EDITS) & _chunks_agree(x, y))
 
     _, found = buckets.linked(check, rest)
     named = first.join(found, first.h1 == found.id, "left").select("h1", "h2", "first", F.coalesce("component", "h1").alias("group"), F.when(F.col("component").isNull(), F.col("h2")).alias("apart"))

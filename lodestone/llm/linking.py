@@ -73,12 +73,13 @@ class Buckets:
     def linked(self, check: Check, rest: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
         """(links found, id and component of every linked id).
 
-        rest: gets key, id and c, the rows of buckets that hold several components, and gives the pairs that are still to be
-        checked: all links between different components must be among them."""
+        rest: gets key, id and c, the rows of buckets that hold several components besides the smallest member, which has been
+        held against all others, and gives the pairs that are still to be checked: all links between different components of
+        these must be among them."""
         pairs = self.rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         links = stored(check(pairs), f"{self.name}-links")
         found = stored(components(links), f"{self.name}-found")
-        rows = stored(self.rows.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), f"{self.name}-rows")
+        rows = stored(self.rows.where("id <> pivot").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), f"{self.name}-rows")
         several = rows.groupBy("key").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).where("_c <> _d").select("key")
         mixed = stored(rows.join(several, "key"), f"{self.name}-mixed")
         more = stored(check(rest(mixed).distinct()), f"{self.name}-more")
