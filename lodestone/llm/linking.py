@@ -1,7 +1,7 @@
 """Linking rows that share a bucket: candidate pairs without all pairs of a bucket, and connected components.
 
-Rows that share a key are candidates. A bucket first links each member to its smallest member only, so that a group of n near
-copies costs n checks. What that can't settle, members of one bucket that ended in different components, goes to a second step,
+Rows that share a key are candidates. A bucket first links each member to one member only, its pivot, so that a group of n near
+copies costs n checks: the smallest one, or the one whose keys the most others have, which is near the middle of such a group. What that can't settle, members of one bucket that ended in different components, goes to a second step,
 which the operator gives: finer buckets such that any two linked rows still share one (for instance their rarest features, by
 the prefix filter). There the rows outside a bucket's main component meet the others. A pair within one component needs no
 check: its link would join nothing. So the components are those of all links.
@@ -57,14 +57,20 @@ def meet(rows: DataFrame, may: Callable[[str, str], Column]) -> DataFrame:
 
 
 class Buckets:
-    """keys: key, id. Only rows of buckets that several ids share are kept."""
+    """keys: key, id. Only rows of buckets that several ids share are kept, with the bucket's pivot: its smallest id, or if
+    central that whose buckets have the most rows in all."""
 
-    def __init__(self, keys: DataFrame, name: str):
+    def __init__(self, keys: DataFrame, name: str, *, central: bool = False):
         self.name = name
         shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot <> _last").drop("_last")
         shared = stored(shared, f"{name}-shared")
         some = marked(keys, F.col("key"), shared, "key").where("_hit")
         self.rows = stored(some.join(shared, "key").select("key", "id", "pivot").distinct(), f"{name}-buckets")
+        if central:
+            sizes = self.rows.groupBy("key").agg(F.count("*").alias("_n"))
+            weights = self.rows.select("key", "id").join(sizes, "key").groupBy("id").agg(F.sum("_n").alias("_n"))
+            pivots = self.rows.select("key", "id").join(weights, "id").groupBy("key").agg(F.max(F.struct("_n", "id"))["id"].alias("pivot"))
+            self.rows = stored(self.rows.drop("pivot").join(pivots, "key").select("key", "id", "pivot"), f"{name}-central")
 
     def ids(self) -> DataFrame:
         """All ids that share a bucket with another one."""
@@ -73,10 +79,10 @@ class Buckets:
     def linked(self, check: Check, rest: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
         """(links found, id and component of every linked id).
 
-        rest: gets key, id and c, the rows of buckets that hold several components besides the smallest member, which has been
-        held against all others, and gives the pairs that are still to be checked: all links between different components of
+        rest: gets key, id and c, the rows of buckets that hold several components besides the pivot, which has been held
+        against all others, and gives the pairs that are still to be checked: all links between different components of
         these must be among them."""
-        pairs = self.rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        pairs = self.rows.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).where("a <> b").distinct()
         links = stored(check(pairs), f"{self.name}-links")
         found = stored(components(links), f"{self.name}-found")
         rows = stored(self.rows.where("id <> pivot").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), f"{self.name}-rows")

@@ -7,7 +7,7 @@ of such a pair has one error at most, since two errors in each would be more tha
 enumerated by leaving out one place after the other, which gives PLACES keys for a document. Pairs that share a key are
 compared on their full sets: a link needs 100 * intersection >= percent * union.
 
-What the smallest member of a bucket doesn't settle (see linking.py), as documents with a passage in common, is split by the
+What the most central member of a bucket doesn't settle (see linking.py), as documents with a passage in common, is split by the
 prefix filter: the members' shingles are put in one order, rare ones first (by counts of hashed slots over all such members);
 a link of sets of n and m shingles has at least o = percent (n + m) / (100 + percent) in common, so that its first common
 shingle is at most the n - o + 1st of the one and the m - o + 1st of the other. Only pairs that share such a shingle are
@@ -43,7 +43,7 @@ from lodestone.llm.linking import Buckets, meet
 
 PLACES, SLOT_BITS = 64, 16
 FEWEST, MOST, UNMET, LOST = 12, 16, 1e-4, 1e-8
-REMEMBERED = 400_000
+REMEMBERED, BATCH = 150_000, 1000
 _RNG = np.random.default_rng(20240229)
 _FACTORS = _RNG.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(1, 2**63, PLACES, dtype=np.uint64)
@@ -203,15 +203,15 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 def _groups(docs: DataFrame, width: int, percent: int, id_col: str) -> DataFrame:
     """id, th, n_shingles and node of each row, and least, the smallest id of its component (null for the empty set)."""
     plan = layout(percent)
-    thin = stored(sketches(docs, width, id_col=id_col), "near-sketches")
+    thin = stored(sketches(docs, width, id_col=id_col), "near-sketches", rows_a_batch=BATCH)
     nodes = thin.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("th").alias("th"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "near-nodes")
-    buckets = Buckets(nodes.select(F.explode(_keys("sig", plan.bounds)).alias("key"), F.col("node").alias("id")), "near")
+    buckets = Buckets(nodes.select(F.explode(_keys("sig", plan.bounds)).alias("key"), F.col("node").alias("id")), "near", central=True)
     members = stored(nodes.join(buckets.ids().withColumnRenamed("id", "node"), "node").select(F.col("node").alias("id"), "th", "sig"), "near-members")
     wanted = members.select("th")
     whole = marked(docs.select("text", F.xxhash64("text").alias("th")), F.col("th"), wanted, "th").where("_hit").drop("_hit")
     texts = whole.join(wanted.distinct(), "th", "left_semi").dropDuplicates(["th"])
-    sets = stored(shingle_sets(texts, width).withColumnRenamed("node", "id").dropDuplicates(["id"]), "near-sets")
+    sets = stored(shingle_sets(texts, width).withColumnRenamed("node", "id").dropDuplicates(["id"]), "near-sets", rows_a_batch=BATCH)
 
     def check(pairs: DataFrame) -> DataFrame:
         near = pairs.join(members.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(members.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
@@ -223,7 +223,7 @@ def _groups(docs: DataFrame, width: int, percent: int, id_col: str) -> DataFrame
     def rest(mixed: DataFrame) -> DataFrame:
         some = stored(sets.join(mixed.select("id", "c").distinct(), "id"), "near-mixed-sets")
         in_common = lambda x: (100 + percent) * (F.col(f"{x}.n") - F.col(f"{x}.rank")) >= percent * (F.col("x.n") + F.col("y.n"))
-        return meet(stored(_prefixes(some, percent), "near-prefixes"), lambda x, y: in_common(x) & in_common(y))
+        return meet(stored(_prefixes(some, percent), "near-prefixes", rows_a_batch=BATCH), lambda x, y: in_common(x) & in_common(y))
 
     _, found = buckets.linked(check, rest)
     named = nodes.join(found, nodes.node == found.id, "left").select("node", "least", F.coalesce("component", "node").alias("c"))
