@@ -43,7 +43,7 @@ from lodestone.llm.linking import Buckets, meet
 
 PLACES, SLOT_BITS = 64, 16
 FEWEST, MOST, UNMET, LOST = 12, 16, 1e-4, 1e-8
-REMEMBERED, BATCH = 150_000, 1000
+REMEMBERED, BATCH = 100_000, 1000
 _RNG = np.random.default_rng(20240229)
 _FACTORS = _RNG.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(1, 2**63, PLACES, dtype=np.uint64)

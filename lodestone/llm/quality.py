@@ -38,7 +38,7 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 class WordSlots(dict):
     """Slot of a word by FNV-1a, remembered; forgotten as a whole when too many words have been seen."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
