@@ -14,7 +14,7 @@ from lodestone.llm.common import id_remainder, read_table, stored
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.mixing import mix
 from lodestone.llm.near_duplicates import without_copies
-from lodestone.llm.pieces import round_trip
+from lodestone.llm.pieces import BATCH, round_trip
 from lodestone.llm.quality import fit_quality, score_quality
 
 
@@ -43,12 +43,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of each document of the mix: their number, the hash of their ids and whether they decode to the text."""
-    return round_trip(docs.select("doc_id", "source", "text")).drop("text")
+    return stored(round_trip(docs.select("doc_id", "source", "text")).drop("text"), "pipeline-pieces", rows_a_batch=BATCH)
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("mixing", mixture), ("sentencepiece", pieces)]
 
-#: The classifier and the near-duplicate search are no SQL; tests hold the stages against brute force.
+#: The classifier and the near-duplicate search are no SQL; tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
