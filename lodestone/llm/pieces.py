@@ -282,25 +282,27 @@ def decode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """docs with n_pieces, n_bytes (pieces that are bytes), ids_sha256 (of the ids as little-endian 32-bit numbers) and same
-    (decoding gives the text again); all null for a null text."""
+    """docs with ids (the pieces of text), decoded (the text of ids), and of these n_pieces, n_bytes (pieces that are bytes),
+    ids_sha256 (of the ids as little-endian 32-bit numbers) and same (decoded is the text); all null for a null text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or read_vocabulary())
+    names = ("ids", "decoded", "n_pieces", "n_bytes", "ids_sha256", "same")
 
-    @F.pandas_udf("n_pieces long, n_bytes long, ids_sha256 string, same boolean")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("ids array<int>, decoded string, n_pieces long, n_bytes long, ids_sha256 string, same boolean")
+    def both_ways(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = _encoder(shared)
         byte = np.array([k == 1 for k in e.vocabulary.kinds])
         for texts in batches:
             out = []
             for t, ids in zip(texts, e.encode_all(texts.tolist()), strict=True):
-                out.append((None,) * 4 if t is None else (len(ids), int(byte[ids].sum()), sha256(ids.tobytes()).hexdigest(), e.decode(ids.tolist()) == t))
-            yield pd.DataFrame(out, columns=["n_pieces", "n_bytes", "ids_sha256", "same"]).astype({"n_pieces": "Int64", "n_bytes": "Int64", "same": "boolean"})
+                decoded = None if t is None else e.decode(ids.tolist())
+                out.append((None,) * 6 if t is None else (ids, decoded, len(ids), int(byte[ids].sum()), sha256(ids.tobytes()).hexdigest(), decoded == t))
+            yield pd.DataFrame(out, columns=list(names)).astype({"n_pieces": "Int64", "n_bytes": "Int64", "same": "boolean"})
 
-    names = ("n_pieces", "n_bytes", "ids_sha256", "same")
     kept = kept_columns(docs, *names)
-    return docs.select(*kept, digest("text").alias(RESULT)).select(*kept, *(F.col(RESULT)[n].alias(n) for n in names))
+    return docs.select(*kept, both_ways("text").alias(RESULT)).select(*kept, *(F.col(RESULT)[n].alias(n) for n in names))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, and whether they decode to its text."""
-    return stored(round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pieces", rows_a_batch=BATCH)
+    out = round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return stored(out.select("doc_id", "n_pieces", "n_bytes", "ids_sha256", "same", "ids"), "pieces", rows_a_batch=BATCH)

@@ -219,6 +219,22 @@ def test_pieces_own_up_to_a_lost_mark(spark):
     assert {i: r.same for i, r in rows.items()} == both == {0: True, 1: False, 2: False}
 
 
+def test_pieces_come_out_themselves(spark):
+    import corpus_pipeline as p
+
+    texts = [*ODD, "a\u2581b", "nul \x00 end", *corpus(20)]
+    e = pieces.Encoder(pieces.read_vocabulary())
+    for r in pieces.round_trip(docs(spark, texts)).collect():
+        ids = None if r.text is None else e.encode(r.text)
+        assert r.ids == ids and r.decoded == (None if ids is None else e.decode(ids))
+        assert ids is None or (r.n_pieces, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
+    rows = pieces.op10_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(text) and all(r.ids == e.encode(text[r.doc_id]) for r in rows if text[r.doc_id] is not None)
+    last = p.pieces(spark, docs(spark, texts), "").collect()
+    assert [e.decode(r.ids) == texts[r.doc_id] for r in last if r.ids is not None] == [r.same for r in last if r.ids is not None]
+
+
 # --- language model --------------------------------------------------------------------------------------------------------
 def _plain_ppm(train, texts):
     """Counts of every context, one symbol at a time."""
