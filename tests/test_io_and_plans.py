@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lodestone import queries as E
+from lodestone.operators import graph as G
 from lodestone.plans.graphs import city_graph, layered_graph
 from lodestone.plans.recommend import HybridIndex, recommend
 from lodestone.sources import readers, sinks
@@ -127,6 +128,14 @@ def test_supply_graph_has_every_edge(spark, duck):
 
 
 def test_kindred_places_pair_across_types(spark, duck):
-    got = {(r.a, r.b) for r in E.QUERIES["kindred_places"](spark, SF).collect()}
+    got = {(r.a, r.b) for r in G.kindred_pairs(E.catalog(spark, SF)).collect()}
     sql = "SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE a.p_brand = b.p_brand OR len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) >= 2"
     assert got == set(duck.sql(sql).fetchall())
+
+
+def test_kindred_places_count_every_link(spark, duck):
+    sql = "SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_partkey <> b.p_partkey WHERE a.p_brand = b.p_brand OR len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) >= 2"
+    want = dict.fromkeys((r[0] for r in duck.sql("SELECT p_partkey FROM part").fetchall()), 0)
+    for a, _ in duck.sql(sql).fetchall():
+        want[a] += 1
+    assert {r.id: r.links for r in E.QUERIES["kindred_places"](spark, SF).collect()} == want

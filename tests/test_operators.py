@@ -222,6 +222,19 @@ def test_kindred_pairs_miss_none(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_kindred_classes_lose_no_link(spark):
+    rnd = random.Random(9)
+    some = [(rnd.choice(["x", "y", None]), rnd.choice([None, [], ["a"], ["b", "a", "a"], ["a", "b", None], ["c", "a", "b"], ["c", "d"]])) for _ in range(80)]
+    rows = [(i, *r) for i, r in enumerate(some)] + [(80, None, None), (81, None, ["q", "r"]), (82, "lone", ["z"])]
+    labels = lambda r: frozenset(x for x in r[2] or () if x)
+    df = spark.createDataFrame(rows, "id int, state string, labels array<string>")
+    for least in (1, 2, 3):
+        got = {r.id: (r.class_id, r.links) for r in G.kindred_classes(df, least=least).collect()}
+        kin = lambda p, q: p[0] != q[0] and (p[1] is not None and p[1] == q[1] or len(labels(p) & labels(q)) >= least)
+        assert got == {p[0]: (min(q[0] for q in rows if (q[1], labels(q)) == (p[1], labels(p))), sum(kin(p, q) for q in rows)) for p in rows}
+    assert G.kindred_classes(df.limit(0)).count() == 0
+
+
 # --- constraints, metrics, refinement -------------------------------------------------------------------------------------
 def test_relaxation(spark):
     rows = spark.createDataFrame([(1, "all", True, True), (1, "x", False, True), (2, "y", False, True), (3, "z", False, False)], "q int, id string, a boolean, b boolean")
