@@ -34,7 +34,7 @@ from lodestone.llm.common import kept_columns, let, marked, read_table, stored
 from lodestone.llm.linking import Buckets, meet
 
 EDITS, LEAST = 2, 20
-GRAM, SLOTS, CHUNKS = 2, 1 << 16, 16
+GRAM, SLOTS, WORDS = 2, 1 << 16, 4
 
 
 def segment_keys(line: str, n: str) -> Column:
@@ -130,11 +130,12 @@ def _numbered(pairs: Column) -> Column:
 
 
 def _rare_pairs(lines: DataFrame) -> DataFrame:
-    """lines: id, line. Returns id, n, width, chunks and first, the first GRAM * EDITS + 1 pairs of neighbouring characters in the
+    """lines: id, line. Returns id, n, bits and first, the first GRAM * EDITS + 1 pairs of neighbouring characters in the
     common order; the second, third, ... of equal pairs in a line are features of their own."""
     pairs = let(F.split("line", ""), lambda c: F.sort_array(F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.xxhash64(*(F.get(c, i + j) for j in range(GRAM))))))
-    lines = lines.withColumn("n", F.length("line")).withColumn("width", F.expr(f"cast(greatest(1, (n - n % if(n < 64, 4, 16)) div {CHUNKS}) as int)"))
-    own = stored(lines.select("id", "n", "width", _chunks(F.col("line"), F.col("width")).alias("chunks"), F.array_distinct(let(pairs, _numbered)).alias("pairs")), "line-pairs")
+    characters = F.transform(F.split("line", ""), lambda c: F.xxhash64(c))
+    own = lines.select("id", F.length("line").alias("n"), _bits(characters, 1).alias("bits"), F.array_distinct(let(pairs, _numbered)).alias("pairs"))
+    own = stored(own.withColumn("bits", F.concat("bits", _bits(F.col("pairs"), WORDS))), "line-pairs")
     slot = lambda x: F.pmod(x, F.lit(SLOTS))
     counts = own.select(F.explode(F.transform("pairs", slot)).alias("slot")).groupBy("slot").count()
     counts = lines.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(counts, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("count", F.lit(0)).alias("count")))).alias("counts"))
@@ -142,25 +143,22 @@ def _rare_pairs(lines: DataFrame) -> DataFrame:
     ranked = F.sort_array(F.transform("pairs", lambda x: F.struct(F.get("counts", slot(x).cast("int")).alias("count"), x.alias("pair"))))
     both = own.withColumn("one", F.lit(1)).join(F.broadcast(counts), "one")
     first = F.transform(F.slice(ranked, 1, GRAM * EDITS + 1), lambda x: x["pair"])
-    return both.select("id", "n", "width", "chunks", first.alias("first"))
+    return both.select("id", "n", "bits", first.alias("first"))
 
 
-def _chunks(line: Column, width: Column) -> Column:
-    """Hashes of CHUNKS runs of width characters, one after the other, each at its place and at up to EDITS places to each side."""
-    shifts = F.array(*map(F.lit, range(-EDITS, EDITS + 1)))
-    at = lambda i, s: F.when(i * width + s >= 0, F.hash(F.substring(line, i * width + s + 1, width)))
-    return F.transform(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda i: F.transform(shifts, lambda s: at(i, s)))
+def _bits(hashes: Column, words: int) -> Column:
+    """hashes as places of bits in so many words, added up without carry. A hash that one of two lists has more than the other
+    changes one bit at most."""
+    place = lambda h: F.pmod(h, F.lit(64 * words))
+    bit = lambda h, w: F.when(F.shiftright(place(h), 6) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(h), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    word = lambda w: F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(bit(h, w)))
+    return F.array(*map(word, range(words)))
 
 
-def _chunks_agree(x: str, y: str) -> Column:
-    """Whether all chunks of each line but EDITS are near their places in the other, as two edits destroy two of them; true where
-    widths differ."""
-
-    def lost(x: str, y: str) -> Column:
-        found = lambda i: F.coalesce(F.array_contains(F.get(f"{x}.chunks", i), F.get(F.get(f"{y}.chunks", i), F.lit(EDITS))), F.lit(False))
-        return F.size(F.filter(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda i: ~found(i)))
-
-    return (F.col(f"{x}.width") != F.col(f"{y}.width")) | ((lost(x, y) <= EDITS) & (lost(y, x) <= EDITS))
+def _bits_agree(x: str, y: str) -> Column:
+    """Whether the bits of characters and of pairs differ in no more places than EDITS edits change."""
+    differ = lambda w: F.bit_count(F.get(f"{x}.bits", F.lit(w)).bitwiseXOR(F.get(f"{y}.bits", F.lit(w))))
+    return (differ(0) <= 2 * EDITS) & (sum((differ(w) for w in range(2, WORDS + 1)), differ(1)) <= 2 * GRAM * EDITS)
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -186,10 +184,10 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
     def rest(mixed: DataFrame) -> DataFrame:
         rare = stored(_rare_pairs(texts.join(mixed.select("id").distinct(), "id", "left_semi")), "line-rare")
-        finer = mixed.join(rare, "id").select("key", "id", "c", "n", "width", "chunks", "first", F.explode("first").alias("pair"))
-        finer = stored(finer.select(F.xxhash64("key", "pair").alias("bucket"), "id", "c", "n", "width", "chunks", "first", "pair"), "line-finer")
+        finer = mixed.join(rare, "id").select("key", "id", "c", "n", "bits", "first", F.explode("first").alias("pair"))
+        finer = stored(finer.select(F.xxhash64("key", "pair").alias("bucket"), "id", "c", "n", "bits", "first", "pair"), "line-finer")
         once = lambda x, y: F.get(F.array_intersect(f"{x}.first", f"{y}.first"), F.lit(0)) == F.col(f"{x}.pair")  # noqa: E731  the first that they share
-        return meet(finer, lambda x, y: once(x, y) & (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= EDITS) & _chunks_agree(x, y))
+        return meet(finer, lambda x, y: once(x, y) & (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= EDITS) & _bits_agree(x, y))
 
     _, found = buckets.linked(check, rest)
     named = first.join(found, first.h1 == found.id, "left").select("h1", "h2", "first", F.coalesce("component", "h1").alias("group"), F.when(F.col("component").isNull(), F.col("h2")).alias("apart"))

@@ -572,6 +572,27 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, ODD).limit(0)).count() == 0 and line_dedup.dedup_lines(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_line_bits_keep_every_link_and_little_else(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+
+    def edited(line, n):
+        for _ in range(n):
+            at, kind = rnd.randrange(len(line)), rnd.randrange(3)
+            line = line[:at] + ("" if kind == 2 else rnd.choice("abcxyzü語😀 ")) + line[at + (kind != 1) :]
+        return line
+
+    bases = [" ".join(word() for _ in range(rnd.randint(4, 30))) for _ in range(150)] + ["aaaa " * k for k in (5, 9, 40)] * 10
+    near = [(x, edited(x, rnd.randint(0, 2))) for x in bases]
+    other = [(x, " ".join([*x.split(" ")[:2], word(), *x.split(" ")[3:]])) for x in bases[:150]]  # one word of five letters changed
+    lines = [line for both in near + other for line in both]
+    rows = line_dedup._rare_pairs(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    x, y = (rows.select((F.floor(F.col("id") / 2)).alias("k"), "id", "bits").where(F.col("id") % 2 == i).alias(n) for i, n in enumerate("xy"))
+    got = {r.k: r.ok for r in x.join(y, F.col("x.k") == F.col("y.k")).select("x.k", line_dedup._bits_agree("x", "y").alias("ok")).collect()}
+    assert len(got) == len(near) + len(other) and all(got[k] for k in range(len(near)))
+    assert sum(got[k] for k in range(len(near), len(got))) <= 15
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
