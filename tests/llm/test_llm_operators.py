@@ -610,6 +610,15 @@ def test_pipeline_stages(spark):
     assert last.where("same").count() == last.count() == df.count()
 
 
+def test_pipeline_scores_in_small_batches(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    sf, calls, write = "/root/testdata/sf0.001", [], p.stored
+    monkeypatch.setattr(p, "stored", lambda df, name, **more: calls.append(more) or write(df, name, **more))
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    assert p.quality(spark, table, sf).columns == table.columns and calls == [{"rows_a_batch": p.BATCH}]
+
+
 @pytest.mark.parametrize("run", [
     lambda d: quality.score_quality(d, quality.FactorisationMachine()), lambda d: toxicity.score_toxicity(d, []), lambda d: wordpiece.with_token_counts(d, (["a"], ["a"])), lambda d: pieces.round_trip(d), lambda d: rules.apply_rules(d), lambda d: line_dedup.dedup_lines(d),
     lambda d: near_duplicates.without_copies(d), lambda d: fingerprints.against_edits(d), lambda d: ppm.score_language_model(d, F.lit(False)),
