@@ -27,15 +27,16 @@ def _settable(spark: SparkSession) -> bool:
     return spark.conf.isModifiable("spark.checkpoint.dir")
 
 
-def stored(df: DataFrame, name: str, *, rows_a_batch: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, *, rows_a_batch: int | None = None, rows_a_group: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs don't run its lineage again, and a lost executor loses no rows.
-    rows_a_batch: of the Arrow batches that Python workers hold at once while it is written."""
+    rows_a_batch: of the Arrow batches that Python workers hold at once while it is written; rows_a_group: of Parquet's row groups,
+    which bound what a reader of long arrays unpacks at once (4096 rows otherwise)."""
     spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(setting)
     try:
         if rows_a_batch:
             spark.conf.set(setting, str(rows_a_batch))
-        df.write.parquet(path)
+        df.write.options(**{"parquet.block.row.count.limit": rows_a_group} if rows_a_group else {}).parquet(path)
     finally:
         spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,6 +27,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,28 +282,40 @@ def decode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     return docs.select(*kept_columns(docs, "decoded"), texts("ids").alias("decoded"))
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """docs with ids (the pieces of text), decoded (the text of ids), and of these n_pieces, n_bytes (pieces that are bytes),
-    ids_sha256 (of the ids as little-endian 32-bit numbers) and same (decoded is the text); all null for a null text."""
+def round_trip(docs: DataFrame, vocabulary: Vocabulary | None = None, *, texts: bool = True) -> DataFrame:
+    """docs with ids (the pieces of text), decoded (the text of ids; only if texts), and of these n_pieces, n_bytes (pieces that are
+    bytes), ids_sha256 (of the ids as little-endian 32-bit numbers) and same (decoded is the text); all null for a null text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or read_vocabulary())
-    names = ("ids", "decoded", "n_pieces", "n_bytes", "ids_sha256", "same")
-
-    @F.pandas_udf("ids array<int>, decoded string, n_pieces long, n_bytes long, ids_sha256 string, same boolean")
-    def both_ways(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kinds = {"ids": "array<int>", **({"decoded": "string"} if texts else {}), "n_pieces": "long", "n_bytes": "long", "ids_sha256": "string", "same": "boolean"}
+
+    def rows(e: Encoder, byte: np.ndarray, batch: list[str | None]) -> pa.Array:
+        ids = e.encode_all(batch)
+        each = lambda f: (None if x is None else f(x) for x in ids)
+        decoded = each(lambda x: e.decode(x.tolist()))  # one at a time, unless they are asked for
+        decoded = list(decoded) if texts else decoded
+        out = {
+            "ids": pa.array(ids, pa.list_(pa.int32())),  # from arrays as they are; a pandas UDF makes a list of numbers of each
+            "n_pieces": pa.array(each(len), pa.int64()),
+            "n_bytes": pa.array(each(lambda x: int(byte[x].sum())), pa.int64()),
+            "ids_sha256": pa.array(each(lambda x: sha256(x.tobytes()).hexdigest()), pa.string()),
+            "same": pa.array([None if d is None else d == t for d, t in zip(decoded, batch, strict=True)], pa.bool_()),
+        }
+        if texts:
+            out["decoded"] = pa.array(decoded, pa.string())
+        return pa.StructArray.from_arrays([out[n] for n in kinds], list(kinds))
+
+    @F.arrow_udf(", ".join(f"{n} {kind}" for n, kind in kinds.items()))
+    def both_ways(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = _encoder(shared)
         byte = np.array([k == 1 for k in e.vocabulary.kinds])
-        for texts in batches:
-            out = []
-            for t, ids in zip(texts, e.encode_all(texts.tolist()), strict=True):
-                decoded = None if t is None else e.decode(ids.tolist())
-                out.append((None,) * 6 if t is None else (ids, decoded, len(ids), int(byte[ids].sum()), sha256(ids.tobytes()).hexdigest(), decoded == t))
-            yield pd.DataFrame(out, columns=list(names)).astype({"n_pieces": "Int64", "n_bytes": "Int64", "same": "boolean"})
+        for batch in batches:
+            yield rows(e, byte, batch.to_pylist())
 
-    kept = kept_columns(docs, *names)
-    return docs.select(*kept, both_ways("text").alias(RESULT)).select(*kept, *(F.col(RESULT)[n].alias(n) for n in names))
+    kept = kept_columns(docs, *kinds)
+    return docs.select(*kept, both_ways("text").alias(RESULT)).select(*kept, *(F.col(RESULT)[n].alias(n) for n in kinds))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, and whether they decode to its text."""
-    out = round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return stored(out.select("doc_id", "n_pieces", "n_bytes", "ids_sha256", "same", "ids"), "pieces", rows_a_batch=BATCH)
+    out = round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    return stored(out.select("doc_id", "n_pieces", "n_bytes", "ids_sha256", "same", "ids"), "pieces", rows_a_batch=BATCH, rows_a_group=BATCH)

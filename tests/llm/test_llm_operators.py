@@ -235,6 +235,17 @@ def test_pieces_come_out_themselves(spark):
     assert [e.decode(r.ids) == texts[r.doc_id] for r in last if r.ids is not None] == [r.same for r in last if r.ids is not None]
 
 
+def test_pieces_are_stored_in_small_row_groups(spark):
+    import corpus_pipeline as p
+    import pyarrow.parquet as pq
+
+    texts = [None if i % 50 == 0 else f"text {i} of many" for i in range(2500)]
+    for out in (p.pieces(spark, docs(spark, texts).coalesce(1), ""), pieces.op10_sentencepiece(spark, "/root/testdata/sf0.1")):
+        sizes = [meta.row_group(i).num_rows for f in out.inputFiles() for meta in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(meta.num_row_groups)]
+        assert sum(sizes) == out.count() and max(sizes) == pieces.BATCH
+    assert "decoded" not in pieces.round_trip(docs(spark, texts), texts=False).columns
+
+
 # --- language model --------------------------------------------------------------------------------------------------------
 def _plain_ppm(train, texts):
     """Counts of every context, one symbol at a time."""
