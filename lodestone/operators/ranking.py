@@ -60,8 +60,11 @@ def best_by_name(df: DataFrame, name: str = "name", score: str = "confidence", *
 
 
 def renumbered(df: DataFrame, out: str, order: Sequence[Column | str]) -> DataFrame:
-    """Rows numbered from 1 in an order: range partitions number their rows, offsets come from a small table of their sizes."""
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """Rows numbered from 1 in an order: range partitions number their rows, offsets come from a small table of their sizes. The
+    partitions are stored: drawn again for the sizes, they would have other bounds."""
+    from lodestone.operators.graph import written
+
+    parts = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
     within = parts.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     sizes = within.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")

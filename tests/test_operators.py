@@ -123,6 +123,19 @@ def test_windows(spark):
     assert one(spark, wa) == pytest.approx(0.25) and one(spark, wb) == pytest.approx(0.75)
 
 
+def test_renumbered_counts_without_gaps(spark):
+    rows = spark.range(0, 60_000, 1, 8).select((F.col("id") * 7919 % 60_013).alias("key"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        got = [(r.key, r.n) for r in R.renumbered(rows, "n", ["key"]).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    keys = sorted(i * 7919 % 60_013 for i in range(60_000))
+    assert sorted(got) == [(k, i) for i, k in enumerate(keys, 1)]
+
+
+
 # --- graph ---------------------------------------------------------------------------------------------------------------
 EDGES = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 2.0), ("c", "e", 1.0), ("a", "f", 0.0)]
 
