@@ -85,6 +85,21 @@ def test_bm25(spark):
     assert got == {1: pytest.approx(part(2, 3, 1, 2) + part(1, 3, 2, 1), abs=1e-6), 2: pytest.approx(part(1, 2, 2, 1), abs=1e-6)}
 
 
+def test_bm25_moves_texts_only(spark):
+    """Texts are dealt once by id: neither postings nor scores are shuffled, and a repeated id is still one document."""
+    docs = [(1, "red fox red"), (1, "red owl owl"), (1, "blue"), (2, "blue fox"), (3, "green"), (4, None)]
+    index = T.index_words(spark.createDataFrame(docs, "id int, text string"))
+    scores = T.bm25_scores(index, T.query_terms(spark.createDataFrame([(7, "red fox"), (8, "blue")], "qid int, query string")))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    keys = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
+    assert not any("len#" in k or "qid#" in k and " id#" in k for k in keys)
+    n, avg = 6, 10 / 6
+    idf = lambda df: math.log(1 + (n - df + 0.5) / (df + 0.5))
+    part = lambda tf, ln, df: idf(df) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * ln / avg))
+    want = {(7, 1): part(3, 3, 1) + part(1, 3, 2), (7, 2): part(1, 2, 2), (8, 1): part(1, 1, 2), (8, 2): part(1, 2, 2)}
+    assert {(r.qid, r.id): r.score for r in scores.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
 def test_tfidf_is_a_cosine(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (3, "")], "id int, text string")
     for kind in ("word", "char"):
