@@ -117,6 +117,35 @@ def test_similar_pairs_find_all(spark):
     assert {(r.a, r.b) for r in T.similar_pairs(df, 0.7, block=16).collect()} == want
 
 
+def test_similar_pairs_hold_two_blocks_of_numbers_only(spark):
+    """No pair of blocks is unfolded to rows; copies, other lengths, null and zero vectors as before."""
+    vs = [[1.0, 2.0, 3.0]] * 40 + [[2.0, 4.0, 6.0], [0.0, 0.0, 0.0], [1.0, 2.0], None]
+    got = T.similar_pairs(spark.createDataFrame([(f"v{i:02d}", v) for i, v in enumerate(vs)], "id string, vector array<float>"), 0.9, block=8)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.a, r.b) for r in got.collect()) == [(f"v{i:02d}", f"v{j:02d}") for i, j in itertools.combinations(range(41), 2)]
+
+
+def test_vector_top_k_breaks_ties_after_rounding(spark):
+    rnd = random.Random(2)
+    vs = [[rnd.gauss(0, 1) for _ in range(3)] for _ in range(50)] + [[0.5, 0.5, 0.5 + i * 1e-9] for i in range(40, 0, -1)]
+    df = spark.createDataFrame(list(enumerate(vs)), "id int, vector array<double>")
+    q = df.where("id % 7 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("query_vector"))
+    got = T.vector_top_k(df, q, 12, digits=6, block=16)
+    want = {(i, j) for i in range(0, 90, 7) for j in sorted(range(90), key=lambda j: (-round(sum(a * b for a, b in zip(vs[i], vs[j])), 6), j))[:12]}
+    assert {(r.qid, r.id) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_ranked_metrics_do_not_sort_all_relevance(spark):
+    truth = spark.createDataFrame([(1, i, 1.0 if i % 2 else 0.3) for i in range(1, 9)] + [(2, 1, 0.2)], "qid int, id int, grade double")
+    out = M.ranked_metrics(spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 99, 3)], "qid int, id int, rank int"), truth, 5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1  # over the lists alone
+    got = {r.qid: r for r in out.collect()}
+    gain = [1 / math.log2(r + 1) for r in range(1, 6)]
+    assert got[1].ndcg == pytest.approx((0.3 * gain[0] + gain[1]) / (sum(gain[:4]) + 0.3 * gain[4])) and got[1].recall == 0.25
+    assert got[2].recall == 0 and got[2].ndcg == 0
+
+
 # --- ranking -------------------------------------------------------------------------------------------------------------
 def test_normalisers(spark):
     rows = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 3.0), ("b", 2, 3.0), ("c", 1, -1.0)], "g string, id int, s double")
