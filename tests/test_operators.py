@@ -237,6 +237,44 @@ def test_betweenness_and_communities(spark):
     assert groups["a"] == groups["b"] and groups["e"] == groups["f"] and groups["a"] != groups["f"] and groups["g"] == "g"
 
 
+def test_betweenness_walks_classes_of_twins(spark):
+    """Against paths counted node by node; twins stand for each other, also those of the pivot."""
+    pairs = [(a, b) for a in range(3) for b in range(3, 23)] + [(22, 23), (23, 24), (23, 25), (5, 24)]
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(27)], "id string")
+    assert G.twins(edges).select("rep").distinct().count() == 7
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(27)}
+    want = dict.fromkeys(range(27), 0.0)
+    for s in near:
+        dist, paths, queue = {s: 0}, {s: 1}, [s]
+        for v in queue:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        share = dict.fromkeys(queue, 0.0)
+        for w in reversed(queue):
+            for v in near[w]:
+                if dist[v] == dist[w] - 1:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+            want[w] += share[w] if w != s else 0
+    got = {r.id: r.betweenness for r in G.betweenness(nodes, edges).collect()}
+    assert got == {f"n{i}": pytest.approx(v / (26 * 25)) for i, v in want.items()}
+
+
+def test_near_pairs_meet_by_position(spark):
+    """Many places at one position: the distance is taken once for them, and no side is broadcast."""
+    at = [(i, 10.0 + i % 3 * 0.1, 20.0) for i in range(30)] + [(30, 50.0, 20.0), (31, None, 20.0), (32, 0.0, 20.0)]
+    got = G.near_pairs(spark.createDataFrame(at, "id int, lat double, lon double"), 15.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[lat#" in plan and "BroadcastHashJoin" not in plan
+    want = {(i, j) for i, j in itertools.combinations(range(30), 2) if abs(i % 3 - j % 3) < 2}
+    rows = got.collect()
+    assert {(r.a, r.b) for r in rows} == want and len(rows) == len(want)
+
+
 def test_capped_pairs_are_greedy(spark):
     rnd = random.Random(4)
     pairs = [(i, j, round(rnd.random(), 2)) for i, j in itertools.combinations(range(14), 2)]
