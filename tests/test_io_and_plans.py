@@ -127,6 +127,11 @@ def test_supply_graph_has_every_edge(spark, duck):
     assert edges.where("relation = 'SUPPLIES'").count() == want
 
 
+def test_supply_edges_are_stored(spark):
+    """Iterations on the supply graph don't read and join lineitem again."""
+    assert not any("lineitem" in f for f in E._supply(spark, SF)[1].inputFiles())
+
+
 def test_kindred_places_pair_across_types(spark, duck):
     got = {(r.a, r.b) for r in G.kindred_pairs(E.catalog(spark, SF)).collect()}
     sql = "SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE a.p_brand = b.p_brand OR len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) >= 2"
