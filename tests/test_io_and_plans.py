@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import queries as E
 from lodestone.operators import graph as G
-from lodestone.plans.graphs import city_graph, layered_graph
+from lodestone.plans.graphs import city_graph, hybrid_graph, layered_graph
 from lodestone.plans.recommend import HybridIndex, recommend
 from lodestone.sources import readers, sinks
 from lodestone.streaming import events as V
@@ -81,6 +81,15 @@ def test_stream(spark, tmp_path):
     assert 0 < got <= src.count()
 
 
+def test_index_by_classes_is_that_of_the_graph(spark):
+    places = E.catalog(spark, SF).where("id < 150").withColumn("state", F.when(F.col("id") % 11 > 0, F.col("state"))).withColumn("trip_types", F.when(F.col("id") % 11 > 0, F.col("trip_types")).otherwise(F.array()))
+    a, b = HybridIndex.build(places), HybridIndex.build(places, graph=hybrid_graph(places))
+    rows = lambda i: sorted((r.src, r.dst, r.first_seq) for r in i.neighbours.collect())
+    assert rows(a) == rows(b) and len(rows(a)) > 1000
+    assert {r.id: r.rank for r in a.page_rank.collect()} == {r.id: pytest.approx(r.rank, abs=1e-12) for r in b.page_rank.collect()}
+    assert G.kindred_walk(places, 12, labels="trip_types")[0].count() == len(rows(a))
+
+
 def test_recommendation_is_ordered_and_bounded(spark):
     places = E.catalog(spark, SF)
     index = HybridIndex.build(places)
